@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +43,13 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
 
-    def word(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+    def learn(self, words: list[bytes]) -> None:
+        """Remember the ids of words, all encoded in one call."""
+        found = self.tokenizer.encode([w.decode("utf-8", "replace") for w in words], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found.ids, "<u4").tobytes()
+        edges = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1)) * 4
+        for word, a, b in zip(words, edges.tolist(), edges[1:].tolist(), strict=False):
+            self.memo[word] = ids[a:b]
 
     def text(self, text: bytes | None) -> bytes:
         words = (text or b"").split()
@@ -55,12 +60,16 @@ class WordIds:
             pass
         if len(memo) > MEMO:
             memo.clear()
-        for w in words:
-            if w not in memo:
-                memo[w] = self.word(w)
+        self.learn(list({w for w in words if w not in memo}))
         return b"".join([memo[w] for w in words])
 
 
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One for each Python worker: what a task has learned serves the next ones."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, step: int = STEP, end_id: int = 2) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, part, cls, nth): the cut pieces of each row of docs.
 
@@ -69,7 +78,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, step: int
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = word_ids(tokenizer)
         part = TaskContext.get().partitionId()
         count: dict[int, int] = {}
         for batch in batches:
