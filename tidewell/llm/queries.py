@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import language_id, packing, quality_rules, simhash_dedup, suffix_dedup, toxicity
+from tidewell.llm import embedding_dedup, language_id, packing, quality_rules, simhash_dedup, suffix_dedup, toxicity
 from tidewell.llm.common import table
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op3_packing, op4_quality_rules, op5_simhash_near_dedup, op9_suffix_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_language_id, op3_packing, op4_quality_rules, op5_simhash_near_dedup, op9_suffix_dedup, op10_toxicity)}
 
 _OP4 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
