@@ -4,18 +4,45 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.llm import language_id, mixing, packing, simhash_dedup, suffix_dedup
 from tidewell.llm.common import shared_dir, table
-from tidewell.llm.simhash_dedup import keep_first
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is found stay; those without text or without a letter go."""
+    return language_id.keep_identified(docs)
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return keep_first(docs)
+    """The first document of each near-duplicate group stays."""
+    return simhash_dedup.keep_first(docs)
+
+
+def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that occur elsewhere are cut out of the texts; every document stays."""
+    return suffix_dedup.without_repeats(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated as often as the fitted rates say; none falls below one."""
+    return mixing.mix(docs, table(spark, sf_dir, "labels"), lowest=1.0)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("simhash near-dedup", simhash)]
+STAGES = [
+    ("language id", language),
+    ("simhash near-dedup", simhash),
+    ("suffix-array dedup", suffixes),
+    ("mixing", mixture),
+    ("packing", pack),
+]
 
 #: SQL can't express the stages; tests/llm compares them with brute force.
 ORACLE_SQL = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import embedding_dedup, language_id, lm_scoring, packing, quality_rules, simhash_dedup, suffix_dedup, toxicity
+from tidewell.llm import chat_format, embedding_dedup, language_id, lm_scoring, mixing, packing, quality_rules, simhash_dedup, suffix_dedup, toxicity
 from tidewell.llm.common import table
 
 
@@ -29,10 +29,18 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.conversations(table(spark, sf_dir, "conversations"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -41,7 +49,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_language_id, op3_packing, op4_quality_rules, op5_simhash_near_dedup, op7_lm_scoring, op9_suffix_dedup, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_language_id, op3_packing, op4_quality_rules, op5_simhash_near_dedup, op6_chat_format, op7_lm_scoring, op8_mixing, op9_suffix_dedup, op10_toxicity)}
 
 _OP4 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
