@@ -35,10 +35,10 @@ from tidewell.llm.common import cut, release, stash
 
 SIZE = 200
 ANCHOR = 40
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Names, and bytes, that a bucket gets, about.
-BUCKET_NAMES = 2_000_000
-BUCKET_BYTES = 3 << 20
+BUCKET_NAMES = 1_000_000
+BUCKET_BYTES = 3 << 19
 #: Different blocks of one anchor above which they are dealt as windows.
 HOT = 2000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -262,6 +262,12 @@ def _pack(docs: DataFrame, chunk: int) -> DataFrame:
     return docs.select(*names, F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
+def _rows(batch: pa.RecordBatch, first: int = 0) -> Iterator[tuple]:
+    """The rows' values from column `first` on, one row at a time."""
+    for row in range(batch.num_rows):
+        yield tuple(c[row].as_py() for c in batch.columns[first:])
+
+
 def _open(sizes, data, size: int, anchor: int) -> Chunk:
     sizes = np.array(sizes, np.int64)
     return Chunk(pa.decompress(data, int(sizes.sum()), "zstd", asbytes=True) if sizes.sum() else b"", sizes, size, anchor)
@@ -273,7 +279,7 @@ _NAMES = np.dtype([("a", "<u8"), ("b1", "<u8"), ("b2", "<u4"), ("many", "u1")])
 def _send_names(chunks: DataFrame, n: int, size: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, sizes, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for chunk, sizes, data in _rows(batch):
                 own = _open(sizes, data, size, anchor)
                 rows = np.empty(len(own.many), _NAMES)
                 rows["a"], rows["b1"], rows["b2"], rows["many"] = *own.unique, own.many
@@ -378,7 +384,7 @@ def _layout(own: Chunk, n: int, size: int) -> Iterator[tuple[int, np.ndarray, np
 def _send_blocks(joined: DataFrame, n: int, size: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, sizes, data, replies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for chunk, sizes, data, replies in _rows(batch):
                 own = _open(sizes, data, size, anchor)
                 _take_codes(own, replies)
                 text = own.data.tobytes()
@@ -450,7 +456,7 @@ def strip_repeats(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, chunk
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rests = batch.column(0)
-            for row, (sizes, data, r0, r1) in enumerate(zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)):
+            for row, (sizes, data, r0, r1) in enumerate(_rows(batch, 1)):
                 own = _open(sizes, data, size, anchor)
                 _take_codes(own, r0)
                 mark = _marked(own, r1, n_blocks, size)
