@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values that results depend on: word lists and patterns, in natural order.
 STOP_NO = """og i jeg er på som en et til for med av det den de har kan vi du ikke å om fra ved eller men også vil skal være blir her der hva hvor når man sin sitt våre min mitt din ditt hans hennes dem oss meg deg seg at så noe noen alle andre""".split()
@@ -18,9 +19,11 @@ STOPWORDS = sorted({*STOP_NO, *STOP_EN, *STOP_NOTICE})
 LABEL_NOISE = """og i på som en et til for med av the a an and of in at mv andre annet øvrige diverse generell generelle""".split()
 SKILL_STOP = """the a an and or of in on at to for with from by as is are be being been og i på som en et til for med av fra ved er use using used ensure ensuring apply applying perform performing carry out conduct manage managing work working utføre bruke bruk eller samt""".split()
 #: Character replacements of the shared normaliser.
-FOLD_FROM = "‘’‚“”„   –—"
-FOLD_TO = "'''\"\"\"   --"
-FOLD_DROP = "­"
+FOLD_FROM = "\u2018\u2019\u201c\u201d\u00a0\u2009\u202f\u2013\u2014"
+FOLD_TO = "''\"\"   --"
+FOLD_DROP = "\u00ad"
+#: Marks that no text has: a line break, and around what is put aside.
+BREAK, OPEN, CLOSE, NUMBER = "\ue000", "\ue001", "\ue002", "\ue003"
 WORD = "[\\p{L}\\p{N}]+"
 LANGUAGE_TOKEN = "norsk|norwegian|engelsk|english|skandinavisk|scandinavian|spr[åa]k|munnleg|muntlig|skriftlig|skriftleg|norskpr[øo]ve|bergenstest|niv[åa]\\s*[ABC][12]|cefr|nynorsk|bokm[åa]l|samisk"
 BOILERPLATE = "personal data|privacy polic|\\bGDPR\\b|equal opportunit|regardless of (race|gender|age)|applicants? (of all|from all)|powered by|cookie polic|terms of service"
@@ -118,15 +121,16 @@ def keep_blocks(text: Column) -> Column:
 
 def scrub_patterns(text: Column) -> Column:
     """E-mail addresses and telephone numbers replaced by marks; dates and hour ranges are no numbers."""
-    held = F.regexp_replace(text, f"({DATE_OR_HOURS})", "$1")
+    held = F.regexp_replace(text, f"({DATE_OR_HOURS})", f"{OPEN}$1{CLOSE}")
     mailed = F.regexp_replace(held, EMAIL, EMAIL_MARK)
-    phoned = F.regexp_replace(mailed, f"([^]*)|{PHONE}", "$1")
-    marked = F.replace(F.replace(phoned, F.lit(""), F.lit("")), F.lit(""), F.lit(PHONE_MARK))
-    return F.replace(marked, F.lit(""), F.lit(""))
+    # what was put aside is matched first and stays; anything else that matches is a number
+    phoned = F.regexp_replace(mailed, f"({OPEN}[^{CLOSE}]*{CLOSE})|{PHONE}", f"{NUMBER}$1{NUMBER}")
+    phoned = F.regexp_replace(phoned, f"{NUMBER}{NUMBER}", NUMBER)
+    return F.translate(F.replace(F.regexp_replace(phoned, f"{NUMBER}?({OPEN}[^{CLOSE}]*{CLOSE}){NUMBER}?", "$1"), F.lit(NUMBER), F.lit(PHONE_MARK)), OPEN + CLOSE, "")
 
 
 def has_pii(text: Column) -> Column:
-    masked = F.regexp_replace(text, DATE_OR_HOURS, "")
+    masked = F.regexp_replace(text, DATE_OR_HOURS, OPEN)
     return masked.rlike(EMAIL) | masked.rlike(PHONE)
 
 
@@ -136,13 +140,13 @@ def fold(text: str | None) -> str:
     return " ".join(folded.split())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Spark has no expression for NFKC."""
     return text.map(fold)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def scrub(text: pd.Series, contacts: pd.Series) -> pd.Series:
     """Patterns, then the item's own contacts: telephone numbers however they are grouped, names longest first."""
     return pd.Series([scrub_item(t, c) for t, c in zip(text, contacts, strict=True)])
@@ -155,7 +159,7 @@ def scrub_item(text: str | None, contacts) -> str:
 
     def park(m: re.Match) -> str:
         held.append(m[0])
-        return f"{len(held) - 1}"
+        return f"{OPEN}{len(held) - 1}{CLOSE}"
 
     out = re.sub(PHONE, PHONE_MARK, re.sub(EMAIL, EMAIL_MARK, re.sub(DATE_OR_HOURS, park, text)))
     people = [dict(c) for c in (contacts if contacts is not None else [])]
@@ -163,9 +167,9 @@ def scrub_item(text: str | None, contacts) -> str:
         digits = re.sub(r"\D", "", person.get("phone") or "")
         groups = {digits[k : k + 8] for k in range(0, len(digits), 8)} | {digits[-8:]}
         for number in sorted(g for g in groups if len(g) == 8):
-            gap = "[\\s. -]{0,2}"
+            gap = "[\\s.\u00a0-]{0,2}"
             out = re.sub(f"(?<![\\d\\w])(?:(?:\\+|00){gap}47{gap})?{gap.join(number)}(?!\\d)", PHONE_MARK, out)
-    out = re.sub("(\\d+)", lambda m: held[int(m[1])], out)
+    out = re.sub(f"{OPEN}(\\d+){CLOSE}", lambda m: held[int(m[1])], out)
     for name in sorted({(p.get("name") or "").strip() for p in people}, key=lambda n: (-len(n), n)):
         if len(name) >= 4:
             out = out.replace(name, NAME_MARK)
@@ -190,7 +194,7 @@ class _Reader(HTMLParser):
         if tag in _SKIPPED:
             self.skip += 1
         elif tag == "br":
-            self.handle_data("")
+            self.handle_data(BREAK)
         elif tag in _BLOCKS:
             if tag in ("p", "li", "td") and self.open and self.blocks[self.open[-1]][0] == tag:
                 self.open.pop()
@@ -223,7 +227,7 @@ def html_blocks_of(html: str | None) -> list[dict]:
     out: list[dict] = []
 
     def emit(tag: str, text: str) -> None:
-        for piece in text.split(""):
+        for piece in text.split(BREAK):
             if len(piece := piece.strip()) >= 2:
                 out.append({"index": len(out), "tag": tag, "text": piece, "n_chars": len(piece)})
 
@@ -237,7 +241,7 @@ def html_blocks_of(html: str | None) -> list[dict]:
     return out
 
 
-@F.pandas_udf("array<struct<index:int,tag:string,text:string,n_chars:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("index", T.IntegerType()), T.StructField("tag", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.IntegerType())])))
 def html_blocks(html: pd.Series) -> pd.Series:
     return html.map(html_blocks_of)
 
@@ -265,5 +269,5 @@ def stems(tokens: Column, stemmers) -> Column:
     """stem_chain() of each token; without stemmers the tokens themselves."""
     if not stemmers:
         return F.transform(tokens, lambda w: F.array(w))
-    chain = F.pandas_udf(lambda s: s.map(lambda ws: [stem_chain(w, stemmers) for w in ws]), "array<array<string>>")
+    chain = F.pandas_udf(lambda s: s.map(lambda ws: [stem_chain(w, stemmers) for w in ws]), T.ArrayType(T.ArrayType(T.StringType())))
     return chain(tokens)
