@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tidewell.plans import etl, retrieval
+
+MODULES = (etl, retrieval)
+QUERIES = {name: plan for m in MODULES for name, plan in m.REGISTRY.queries.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.REGISTRY.oracles.items()}
