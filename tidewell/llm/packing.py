@@ -11,6 +11,7 @@ third of all pieces is never gathered in one task.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,14 +28,15 @@ CAPACITY = 4096
 #: Width of a length class, in tokens.
 STEP = 16
 #: Distinct words whose ids a task remembers.
-MEMO = 400_000
+MEMO = 800_000
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+([.,;:!?*#$%&|]*)")
 
 
 class WordIds:
     """Ids of texts as little-endian unsigned 32-bit bytes; remembers each word's ids.
 
-    Only for tokenizers that split at white space and drop it, as word_bpe_49k does: a text's ids
-    are then those of its words (bytes between ASCII white space) put together.
+    Only for tokenizers that split at white space and drop it and end words with `</w>`, as
+    word_bpe_49k does: a text's ids are then those of its words (bytes between ASCII white space) put together.
     """
 
     def __init__(self, path: str):
@@ -42,14 +44,38 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.last[k] = token.endswith("</w>")
 
     def learn(self, words: list[bytes]) -> None:
-        """Remember the ids of words, all encoded in one call."""
-        found = self.tokenizer.encode([w.decode("utf-8", "replace") for w in words], is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, "<u4").tobytes()
-        edges = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1)) * 4
-        for word, a, b in zip(words, edges.tolist(), edges[1:].tolist(), strict=False):
-            self.memo[word] = ids[a:b]
+        """Remember the ids of words, encoded in two calls.
+
+        Latin letters with a run of marks behind, if any, are one or two of the tokenizer's own
+        words, whose last ids it marks: such words are put together and told apart by the marks.
+        """
+        plain, other = [], []
+        counts = []
+        for word in words:
+            if found := _PLAIN.fullmatch(text := word.decode("utf-8", "replace")):
+                plain.append((word, text))
+                counts.append(2 if found[1] else 1)
+            else:
+                other.append((word, text))
+        if plain:
+            found = self.tokenizer.encode_batch_fast([" ".join(text for _, text in plain)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, "<u4")
+            last = np.flatnonzero(self.last[ids])[np.cumsum(counts) - 1] + 1
+            self._keep([w for w, _ in plain], ids, np.append(0, last))
+        if other:
+            found = self.tokenizer.encode([text for _, text in other], is_pretokenized=True, add_special_tokens=False)
+            edges = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(other) + 1))
+            self._keep([w for w, _ in other], np.array(found.ids, "<u4"), edges)
+
+    def _keep(self, words: list[bytes], ids: np.ndarray, edges: np.ndarray) -> None:
+        data = ids.tobytes()
+        for word, a, b in zip(words, (4 * edges).tolist(), (4 * edges[1:]).tolist(), strict=False):
+            self.memo[word] = data[a:b]
 
     def text(self, text: bytes | None) -> bytes:
         words = (text or b"").split()
