@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -44,6 +45,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system: idle workers keep theirs otherwise."""
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def redeal(df: DataFrame, key: str) -> DataFrame:
     """Deal rows by a hash of a key that is unique here.
 

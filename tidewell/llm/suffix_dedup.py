@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import cut, release, stash
+from tidewell.llm.common import cut, give_back, release, stash
 
 SIZE = 200
 ANCHOR = 40
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Names, and bytes, that a bucket gets, about.
-BUCKET_NAMES = 1_000_000
-BUCKET_BYTES = 3 << 19
+BUCKET_NAMES = 500_000
+BUCKET_BYTES = 1 << 20
 #: Different blocks of one anchor above which they are dealt as windows.
 HOT = 2000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -266,6 +266,7 @@ def _rows(batch: pa.RecordBatch, first: int = 0) -> Iterator[tuple]:
     """The rows' values from column `first` on, one row at a time."""
     for row in range(batch.num_rows):
         yield tuple(c[row].as_py() for c in batch.columns[first:])
+    give_back()
 
 
 def _open(sizes, data, size: int, anchor: int) -> Chunk:
@@ -322,6 +323,7 @@ def _exchange(sent: DataFrame, value: str, answer) -> DataFrame:
             order = np.argsort(table["chunk"].to_numpy(), kind="stable")
             table = table.take(pa.array(order)).combine_chunks()
             replies = answer([x.as_py() for x in table[value]])
+            give_back()
             yield pa.RecordBatch.from_arrays([table["chunk"].combine_chunks(), table["bucket"].combine_chunks(), pa.array(replies, pa.binary())], ["chunk", "bucket", "reply"])
 
     return sent.groupBy("bucket").applyInArrow(lambda t: pa.Table.from_batches(list(run(iter(t.to_batches()))), _REPLY), "chunk long, bucket long, reply binary")
