@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidewell.plans import etl, retrieval
+from tidewell.plans import etl, evaluation, retrieval
 
-MODULES = (etl, retrieval)
+MODULES = (etl, retrieval, evaluation)
 QUERIES = {name: plan for m in MODULES for name, plan in m.REGISTRY.queries.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.REGISTRY.oracles.items()}
