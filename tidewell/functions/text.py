@@ -271,3 +271,8 @@ def stems(tokens: Column, stemmers) -> Column:
         return F.transform(tokens, lambda w: F.array(w))
     chain = F.pandas_udf(lambda s: s.map(lambda ws: [stem_chain(w, stemmers) for w in ws]), T.ArrayType(T.ArrayType(T.StringType())))
     return chain(tokens)
+
+
+def fold_lines(text: str | None) -> str:
+    """fold() that keeps line breaks."""
+    return "\n".join(fold(line) for line in (text or "").split("\n"))
