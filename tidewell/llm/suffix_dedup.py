@@ -116,7 +116,7 @@ class Chunk:
         place = mix((self.at - self.lo).astype(np.uint64) * np.uint64(1 << 20) + (self.hi - self.lo).astype(np.uint64))
         b1 = self.hashes[0].of(self.lo, self.hi + self.size) ^ place
         b2 = (self.hashes[1].of(self.lo, self.hi + self.size) >> np.uint64(32)).astype(np.uint32)
-        a = short[self.at]
+        a = mix(short[self.at])  # anchors are minima: mixed again, they spread over all buckets
         order = np.lexsort((b2, b1, a))
         a, b1, b2 = a[order], b1[order], b2[order]
         fresh = np.ones(len(a), bool)
@@ -339,17 +339,26 @@ def _answer_names(values: list[bytes], hot: int) -> list[bytes]:
 
 
 def _answer_blocks(values: list[bytes], size: int) -> list[bytes]:
-    strings: list[bytes] = []
+    known: dict[bytes, int] = {}
+    which: list[int] = []
     counts = []
     for v in values:
         n, total = np.frombuffer(v[:16], np.int64)
         lengths = np.frombuffer(v[16 : 16 + 4 * n], np.uint32).astype(np.int64)
         data = pa.decompress(v[16 + 4 * n :], int(total), "zstd", asbytes=True)
-        ends = np.cumsum(lengths)
-        strings += [data[e - k : e] for e, k in zip(ends, lengths, strict=True)]
+        for e, k in zip(np.cumsum(lengths).tolist(), lengths.tolist(), strict=True):
+            which.append(known.setdefault(data[e - k : e], len(known)))
         counts.append(int((lengths - size + 1).sum()))
+    # what several chunks sent alike is sorted once; all of its windows repeat
+    strings = list(known)
     hit = repeated(strings, size)
-    return [np.packbits(x).tobytes() for x in np.split(hit, np.cumsum(counts)[:-1])]
+    windows = np.array([len(x) - size + 1 for x in strings], np.int64)
+    again = np.bincount(which, minlength=len(strings)) > 1
+    hit |= np.repeat(again, windows)
+    first = np.cumsum(windows) - windows
+    own = np.array(which, np.int64)
+    flags = hit[_ranges(first[own], first[own] + windows[own] - 1)]
+    return [np.packbits(x).tobytes() for x in np.split(flags, np.cumsum(counts)[:-1])]
 
 
 def _blob(pieces: list[bytes]) -> bytes:
