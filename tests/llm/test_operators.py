@@ -1,0 +1,354 @@
+"""The corpus operators against brute force, and on nulls, empty tables, repeated rows and clashing columns."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from tidewell.llm import chat_format, embedding_dedup, language_id, lm_scoring, mixing, packing, quality_rules, simhash_dedup, suffix_dedup, toxicity
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long, component_id long, kept string, score string"
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def corpus(n=60, seed=3):
+    rng = random.Random(seed)
+    vocab = {l: ["".join(rng.choice(abc) for _ in range(rng.randint(2, 8))) for _ in range(300)] for l, abc in (("en", "abcdetlhion"), ("fr", "éèaçuqlest"))}
+    passage = " ".join(rng.choice(vocab["en"]) for _ in range(70)) + "."
+    texts = []
+    for i in range(n):
+        l = "en" if i % 3 else "fr"
+        lines = [" ".join(rng.choice(vocab[l]) for _ in range(rng.randint(3, 40))).capitalize() + "." for _ in range(rng.randint(1, 5))]
+        if i % 5 == 0:
+            lines.insert(rng.randint(0, len(lines)), passage)
+        if i % 9 == 0 and texts:
+            lines, l = [texts[-1][0], ""][: 1 + i % 2], texts[-1][1]
+        texts.append(("\n".join(lines), l))
+    texts += [("", "en"), (None, None), ("   \n\t", "en"), ("12 34 !!", "en"), ("x " * 9000, "en"), texts[1], texts[1]]
+    rows = [(i, t, l, "s", len(t or ""), 7, "k", "z") for i, (t, l) in enumerate(texts)]
+    return rows + [rows[2], (None, "an id is missing here", "en", None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(corpus(), DOC).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOC)
+
+
+def roots(ids, links):
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+# --- 1 ---
+
+
+def vectors(seed=0):
+    rng = np.random.default_rng(seed)
+    rows, base = [], rng.normal(size=(6, 16))
+    for i in range(120):
+        v = base[i % 6] + rng.normal(size=16) * rng.choice([0.02, 0.14, 2.0])
+        rows.append((i, [float(np.float32(x)) for x in v], i % 3 // 2))
+    rows += [(200, rows[0][1], rows[0][2]), (201, rows[0][1], None), (202, [0.0] * 16, 0), (203, None, 0), (204, [float("nan")] * 16, 0), (205, [None] * 16, 0), (206, [float("inf")] + [1.0] * 15, 0), (207, [], 0), (208, rows[0][1][:8], 0)]
+    return rows
+
+
+@pytest.mark.parametrize("tile", [2048, 4])
+def test_embeddings(spark, tile):
+    rows = vectors()
+    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), tables=60, tile=tile).toPandas().set_index("vec_id")
+    good = [(i, np.array(v, float), l) for i, v, l in rows if l is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
+    links = [(a, b) for k, (a, x, l) in enumerate(good) for b, y, m in good[:k] if l == m and len(x) == len(y) and x @ y / math.sqrt((x @ x) * (y @ y)) >= 0.98]
+    count = collections.Counter(i for pair in links for i in pair)
+    assert len(out) == len(rows) and links
+    assert out.n_links.to_dict() == {r[0]: count[r[0]] for r in rows}
+    assert out.component_id.to_dict() == roots([r[0] for r in rows], links)
+    assert (out.kept == (out.index == out.component_id)).all()
+
+
+def test_no_embeddings(spark):
+    assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+# --- 2 ---
+
+
+def test_ppm_code_lengths():
+    texts = [b"abracadabra", b"banana", "é à".encode()]
+    trees = language_id.Trees({"a": texts, "b": [b"zzz"]}, 3)
+    count = [collections.Counter() for _ in range(4)]
+    for t in texts:
+        d = bytes(3) + t
+        for i in range(3, len(d)):
+            for k in range(4):
+                count[k][d[i - k : i + 1]] += 1
+    after = [collections.defaultdict(list) for _ in range(4)]
+    for k in range(4):
+        for g, n in count[k].items():
+            after[k][g[:-1]].append(n)
+
+    def bits(x):
+        d, total = bytes(3) + x, 0.0
+        for i in range(3, len(d)):
+            for k in range(3, -1, -1):
+                g = d[i - k : i + 1]
+                own = after[k].get(g[:-1])
+                if not own:
+                    continue
+                if count[k][g]:
+                    total += math.log2((sum(own) + len(own)) / count[k][g])
+                    break
+                total += math.log2((sum(own) + len(own)) / len(own))
+            else:
+                total += 8
+        return total
+
+    for x in (b"banana bread", b"", b"abracadabra", "xéà".encode()):
+        assert trees.bits([b"q", x])[1][0] == pytest.approx(bits(x), rel=1e-5, abs=1e-5)
+
+
+def test_language_id(docs, none):
+    out = language_id.identify(docs).toPandas()
+    assert len(out) == docs.count()
+    given = {r[0]: r for r in corpus()}
+    for r in out.dropna(subset=["doc_id"]).itertuples():
+        text = given[int(r.doc_id)][1]
+        assert r.held_out == (zlib.crc32(str(int(r.doc_id)).encode()) % 4 == 2)
+        assert (r.lang_pred == "und") == (not any(c.isalpha() for c in text or ""))
+        assert 0 <= r.score <= 1
+    words = out[out.doc_id < 60]
+    assert np.mean([given[int(i)][2] == p for i, p in zip(words.doc_id, words.lang_pred)]) > 0.95
+    assert language_id.identify(none).count() == 0
+    assert language_id.keep_identified(docs).count() == (out.lang_pred != "und").sum()
+
+
+# --- 3 ---
+
+
+def test_packing(docs, none):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(TOKENIZER)
+    out = packing.pack(docs, TOKENIZER, 256, 8).toPandas()
+    for (_, g) in out.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
+        assert (g.offset.values == np.r_[0, np.cumsum(g.length.values)[:-1]]).all() and g.length.sum() <= 256
+        used = g.length.sum()
+        assert (g.padding == (0 if used & (used - 1) == 0 else 256 - used)).all()
+    left = collections.Counter((r.doc_id if r.doc_id == r.doc_id else None, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in out.itertuples())
+    for r in corpus():
+        ids = np.array([*tok.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4")
+        for s in range(0, len(ids), 256):
+            left[(r[0], s, len(ids[s : s + 256]), zlib.crc32(ids[s : s + 256].tobytes()), len(ids))] -= 1
+    assert not any(left.values())
+    assert out.sequence_id.nunique() <= out.length.sum() / 256 * 1.15 + 1
+    assert packing.pack(none, TOKENIZER).count() == 0
+
+
+def test_cutting_stock_is_near_the_bound():
+    rng = np.random.default_rng(0)
+    demand = np.bincount(rng.integers(1, 40, 3000), minlength=65)[1:]
+    plan = packing.solve(demand, 64)
+    assert (sum(t * c for t, c in plan) == demand).all()
+    assert all((c * np.arange(1, 65)).sum() <= 64 for _, c in plan)
+    assert sum(t for t, _ in plan) <= 1.01 * (demand * np.arange(1, 65)).sum() / 64 + 2
+    assert packing.solve(np.zeros(64, int), 64) == []
+
+
+# --- 4 ---
+
+
+def test_quality(docs, none, spark):
+    extra = [("a b c d e f a b c d e\na b c d e\na b c d e ###",), ("Home | About | Contact\nThis is a proper line of text with words.",), ("a b\x1cc d",)]
+    rows = [r[:2] for r in corpus()] + [(1000 + i, t[0]) for i, t in enumerate(extra)]
+    out = quality_rules.digest(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    want = []
+    for i, t in rows:
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        full = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        seen = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        hit = {k + j for k in range(len(w) - 4) if seen[tuple(w[k : k + 5])] > 1 for j in range(5)}
+        want.append((i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(full) - len(set(full)), len(hit), len(w) < 10 or 100 * len(hit) > 20 * len(w)))
+    got = [tuple(None if x != x else x for x in r[:7]) for r in out.itertuples(index=False)]
+    assert sorted(got, key=repr) == sorted(want, key=repr) or collections.Counter(got) == collections.Counter(want)
+    assert not out[out.base_failed].kept.any()
+    lines = quality_rules.clean(spark.createDataFrame([(1, "Home | About | Contact\nIt is a proper line.\nno end\nAll rights reserved.\n$$$ !!! ###.", "clash")], "doc_id long, text string, n_words string"))
+    assert lines.first()["kept_text"] == "It is a proper line."
+    assert quality_rules.clean(none).count() == 0
+
+
+# --- 5 ---
+
+
+def test_simhash(docs, none):
+    out = simhash_dedup.near_duplicates(docs, tile=8).toPandas()
+
+    def fp(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        s = [" ".join(w)] if 0 < len(w) < 4 else [" ".join(w[k : k + 4]) for k in range(len(w) - 3)]
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    rows = [(r[0], fp(r[1])) for r in corpus()]
+    keys = range(len(rows))
+    comp = roots(keys, [(a, b) for a in keys for b in range(a) if (rows[a][1] ^ rows[b][1]).bit_count() <= 4])
+    first = collections.defaultdict(lambda: math.inf)
+    for k in keys:
+        if rows[k][0] is not None:
+            first[comp[k]] = min(first[comp[k]], rows[k][0])
+    want = [(i, f"{f:016x}", first[comp[k]] if first[comp[k]] < math.inf else None) for k, (i, f) in enumerate(rows)]
+    got = [tuple(None if x != x else x for x in r) for r in out.itertuples(index=False)]
+    assert collections.Counter(got) == collections.Counter(want)
+    assert simhash_dedup.near_duplicates(none).count() == 0
+    kept = simhash_dedup.keep_first(docs)
+    assert kept.columns == docs.columns and kept.select("doc_id").distinct().count() == len({w[2] for w in want})
+
+
+def test_tiles_compare_exactly():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    x = np.unique(np.concatenate([base ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(6)]))
+    ones = np.bitwise_count(x)
+    edges = []
+    for p in np.unique(ones):
+        for q in range(p, p + 5):
+            if (ones == q).any():
+                edges += list(zip(*simhash_dedup.tile_links(x[ones == p], None if p == q else x[ones == q], 4)))
+    brute = [(a, b) for k, a in enumerate(x.tolist()) for b in x[:k].tolist() if (a ^ b).bit_count() <= 4]
+    assert roots(x.tolist(), [(int(a), int(b)) for a, b in edges]) == roots(x.tolist(), brute)
+
+
+# --- 6 ---
+
+
+def test_quotes(spark):
+    rows = [(1, 0, "user", "Hello there.\nWhat is  Spark?"), (1, 1, "assistant", "> what is spark?\n\nAn engine."), (1, 2, "user", "On Monday, A wrote:\n> > What is Spark?\n> An engine.\nThanks"), (1, 3, "user", None), (1, 4, "user", ">  hello there.\nnew"), (None, 1, "user", "> An engine."), (2, 0, None, "> An engine.\nx"), (2, None, "a", "b"), (1, 3, "user", None)]
+    frame = spark.createDataFrame([(*r, "e") for r in rows], "conv_id long, turn long, role string, text string, content string")
+    got = [(r["conv_id"], r["turn"], r["thread_turn"], r["parent_turn"], r["n_quoted"], r["n_linked"], r["content"]) for r in chat_format.conversations(frame).collect()]
+    assert collections.Counter(got) == collections.Counter(
+        [(1, 0, 0, None, 0, 0, "Hello there.\nWhat is  Spark?"), (1, 1, 0, 0, 1, 1, "An engine."), (1, 2, 0, 1, 2, 2, "Thanks"), (1, 3, 3, None, 0, 0, ""), (1, 3, 3, None, 0, 0, ""), (1, 4, 0, 0, 1, 1, "new"), (None, 1, 1, None, 0, 0, ""), (2, 0, 0, None, 1, 0, "x"), (2, None, None, None, 0, 0, "b")]
+    )
+    assert chat_format.conversations(frame.limit(0)).count() == 0
+
+
+# --- 7 ---
+
+
+def test_pseudo_likelihood(docs, none):
+    net = lm_scoring.learn(docs)
+    out = lm_scoring.score(docs, net).toPandas()
+    v = net.vocabulary
+    for text in (corpus()[3][1], "one", ""):
+        ids = [v[w] for w in text.lower().encode().split()]
+        total = 0.0
+        for k, own in enumerate(ids):
+            h = np.zeros(lm_scoring.HIDDEN)
+            for o, offset in enumerate(lm_scoring.CONTEXT):
+                h += net.table[o][ids[k + offset] if 0 <= k + offset < len(ids) else v.size]
+            z = np.tanh(h) @ net.out + net.bias
+            total += z[v.cls[own]] - np.log(np.exp(z).sum()) + v.share[own]
+        n, s = net.score(["ab cd".encode(), text.encode(), None])
+        assert n[1] == len(ids) and s[1] == pytest.approx(total, rel=1e-4, abs=1e-6) and s[2] == 0
+    assert len(out) == docs.count() and (out.log_prob <= 0).all() and out[out.n_tokens == 0].mean_log_prob.isna().all()
+    counts = {bytes(r["word"]): r["n"] for r in lm_scoring.word_counts(docs).collect()}
+    assert counts == dict(collections.Counter(w for r in corpus() for w in (r[1] or "").lower().encode().split()))
+    assert lm_scoring.score(none).count() == 0
+
+
+# --- 8 ---
+
+
+def test_mixing(spark, docs, none):
+    labels = spark.createDataFrame([(i, i % 2, int(i % 6 == 0)) for i in range(60)] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+    out = mixing.rates(docs, labels).toPandas()
+    assert len(out) == out.doc_id.fillna(-1).nunique() == len({r[0] for r in corpus()})
+    p = out[[f"p_{d}" for d in mixing.DOMAINS]].values
+    assert np.allclose(p.sum(axis=1), 1) and (out.rate >= 0).all() and (abs(out.copies - out.rate) < 1).all()
+    got = (p * (out.n_tokens * out.rate).values[:, None]).sum(axis=0) / out.n_tokens.sum()
+    assert np.allclose(got, [mixing.TARGETS[d] for d in mixing.DOMAINS], atol=0.02)
+    assert mixing.mix(docs, labels, lowest=1.0).select("doc_id").distinct().count() == len({r[0] for r in corpus()})
+    assert mixing.rates(none, labels).count() == 0
+    assert mixing.rates(docs, labels.limit(0)).count() == len(out)
+
+
+# --- 9 ---
+
+
+@pytest.mark.parametrize("options", [{}, {"chunk": 3000, "hot": 1}, {"chunk": 3000, "hot": 0}])
+def test_repeats(docs, none, options):
+    rows = [(r[0], (r[1] or "").encode()) for r in corpus()]
+    seen = collections.Counter(b[k : k + 200] for _, b in rows for k in range(len(b) - 199))
+    want = []
+    for i, b in rows:
+        mark = np.zeros(len(b), bool)
+        for k in range(len(b) - 199):
+            if seen[b[k : k + 200]] > 1:
+                mark[k : k + 200] = True
+        kept = bytes(c for c, m in zip(b, mark) if not m)
+        want.append((i, len(b), int(mark.sum()), int((np.diff(np.r_[0, mark.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    out = suffix_dedup.digest(docs, **options).toPandas()
+    got = [tuple(None if x != x else x for x in r) for r in out.itertuples(index=False)]
+    assert collections.Counter(got) == collections.Counter(want) and sum(w[2] for w in want)
+    if not options:
+        assert suffix_dedup.digest(none).count() == 0
+        assert suffix_dedup.without_repeats(docs).columns == docs.columns
+
+
+def test_suffix_order_and_repeats():
+    rng = np.random.default_rng(0)
+    for turn in range(60):
+        s = rng.integers(1, 4, int(rng.integers(1, 90)))
+        order = suffix_dedup.suffix_order(s, 200)
+        assert order.tolist() == sorted(range(len(s)), key=lambda i: s[i:].tolist())
+        strings = [bytes(rng.integers(97, 99, int(rng.integers(8, 50))).astype(np.uint8)) for _ in range(5)]
+        windows = [x[i : i + 8] for x in strings for i in range(len(x) - 7)]
+        count = collections.Counter(windows)
+        assert suffix_dedup.repeated(strings, 8).tolist() == [count[w] > 1 for w in windows]
+
+
+# --- 10 ---
+
+
+def test_toxicity(spark):
+    rng = random.Random(0)
+    plain = ["".join(rng.choice("abcdeou") for _ in range(5)) for _ in range(200)]
+    rows, labels = [], []
+    for i in range(500):
+        words = [rng.choice(plain) for _ in range(rng.randint(5, 60))]
+        bad = i % 4 == 0
+        if bad:
+            words[rng.randrange(len(words))] = rng.choice(["idiotic", "idiots", "scum"])
+        rows.append((i, " ".join(words), rng.choice(["en", "de", None]), 3.0))
+        labels.append((i, int(bad), "x"))
+    rows += [(900, None, None, 0.0), (901, "", "en", 0.0), (None, "scum", "en", 0.0), rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
+    marks = spark.createDataFrame(labels + [(None, 1, "x"), (3, None, "x")], "doc_id long, toxic int, text string")
+    out = toxicity.classify(docs, marks).toPandas()
+    assert len(out) == len(rows) and out.score.between(0, 1).all() and ((out.score >= 0.3).astype(int) == out.predicted).all()
+    known = out.dropna(subset=["doc_id"]).merge(pd.DataFrame(labels, columns=["doc_id", "toxic", "t"]), on="doc_id")
+    held = known[known.held_out]
+    assert (held.predicted == held.toxic).mean() > 0.95
+    assert toxicity.classify(docs.limit(0), marks).count() == 0
+    assert (toxicity.classify(docs, marks.limit(0)).toPandas().score == 0).all()
