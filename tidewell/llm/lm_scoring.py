@@ -174,7 +174,14 @@ class Network:
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
     counts = word_counts(docs).persist()
-    common = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()]
+    # a histogram of counts (some hundred rows) gives a threshold: else each partition sends its own top
+    step = F.floor(F.log2("n") * 8).cast("int")
+    above, least_step = 0, 0
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("kinds")).orderBy(F.desc("step")).collect():
+        above, least_step = above + r["kinds"], r["step"]
+        if above >= COMMON:
+            break
+    common = [(bytes(r["word"]), r["n"]) for r in counts.where(step >= least_step).orderBy(F.desc("n"), "word").limit(COMMON).collect()]
     if not common:
         return Vocabulary([], {})
     least, last = common[-1][1], common[-1][0]
