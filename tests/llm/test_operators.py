@@ -261,7 +261,7 @@ def test_pseudo_likelihood(docs, none):
     out = lm_scoring.score(docs, net).toPandas()
     v = net.vocabulary
     for text in (corpus()[3][1], "one", ""):
-        ids = [v[w] for w in text.lower().encode().split()]
+        ids = [v[w] for w in text.encode().lower().split()]
         total = 0.0
         for k, own in enumerate(ids):
             h = np.zeros(lm_scoring.HIDDEN)
@@ -273,7 +273,7 @@ def test_pseudo_likelihood(docs, none):
         assert n[1] == len(ids) and s[1] == pytest.approx(total, rel=1e-4, abs=1e-6) and s[2] == 0
     assert len(out) == docs.count() and (out.log_prob <= 0).all() and out[out.n_tokens == 0].mean_log_prob.isna().all()
     counts = {bytes(r["word"]): r["n"] for r in lm_scoring.word_counts(docs).collect()}
-    assert counts == dict(collections.Counter(w for r in corpus() for w in (r[1] or "").lower().encode().split()))
+    assert counts == dict(collections.Counter(w for r in corpus() for w in (r[1] or "").encode().lower().split()))
     assert lm_scoring.score(none).count() == 0
 
 
