@@ -49,6 +49,8 @@ class Trees:
 
     def __init__(self, texts: dict[str, list[bytes]], order: int = ORDER):
         self.order, self.languages = order, sorted(texts)
+        if not texts:
+            return
         found = []
         for language in self.languages:
             data, inside = join(texts[language], order)

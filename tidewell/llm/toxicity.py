@@ -100,8 +100,8 @@ class Net:
         top = np.concatenate([np.maximum.reduceat(x, bounds, axis=0)[::2] for x in self.responses(parts)], axis=1)
         return np.maximum(top + self.b, 0).astype(np.float64) @ self.v.astype(np.float64) + float(self.c[0])
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 5, batch: int = 32, rate: float = 0.05, seed: int = 0) -> None:
-        """Adagrad on the logistic loss; only the largest responses have gradients."""
+    def fit(self, texts: list[bytes], labels: np.ndarray, steps: int = 350, batch: int = 32, rate: float = 0.05, seed: int = 0) -> None:
+        """Adagrad on the logistic loss, in whole passes of `steps` batches at least; only the largest responses have gradients."""
         rng = np.random.default_rng(seed)
         known = Words()
         every = [read([t], known)[0] for t in texts]
@@ -110,7 +110,7 @@ class Net:
         params = [self.emb, self.w, self.b, self.v, self.c]
         seen = [np.full(p.shape, 1e-8, np.float32) for p in params]
         weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-9), 0.5 / max(1 - labels.mean(), 1e-9))
-        for _ in range(epochs):
+        for _ in range(max(5, -(-steps * batch // len(texts)))):
             order = rng.permutation(len(texts))
             for at in range(0, len(order), batch):
                 rows = order[at : at + batch]
