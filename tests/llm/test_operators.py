@@ -335,14 +335,14 @@ def test_toxicity(spark):
     rng = random.Random(0)
     plain = ["".join(rng.choice("abcdeou") for _ in range(5)) for _ in range(200)]
     rows, labels = [], []
-    for i in range(500):
+    for i in range(2000):
         words = [rng.choice(plain) for _ in range(rng.randint(5, 60))]
         bad = i % 4 == 0
         if bad:
             words[rng.randrange(len(words))] = rng.choice(["idiotic", "idiots", "scum"])
         rows.append((i, " ".join(words), rng.choice(["en", "de", None]), 3.0))
         labels.append((i, int(bad), "x"))
-    rows += [(900, None, None, 0.0), (901, "", "en", 0.0), (None, "scum", "en", 0.0), rows[0]]
+    rows += [(9000, None, None, 0.0), (9001, "", "en", 0.0), (None, "scum", "en", 0.0), rows[0]]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
     marks = spark.createDataFrame(labels + [(None, 1, "x"), (3, None, "x")], "doc_id long, toxic int, text string")
     out = toxicity.classify(docs, marks).toPandas()
