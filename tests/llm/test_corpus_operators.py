@@ -293,6 +293,23 @@ def test_mixing(spark, docs, none):
     assert mixing.rates(docs, labels.limit(0)).count() == len(out)
 
 
+@pytest.mark.parametrize("found", [(0.57, 0.3, 0.13), (0.47, 0.14, 0.39)])
+def test_mixing_reaches_targets_above_a_floor(spark, found):
+    rng = np.random.default_rng(0)
+    p = rng.dirichlet([x * 3 for x in found], 400)
+    p = p**2 / (p**2).sum(axis=1, keepdims=True)
+    rows = [(i, int(rng.integers(20, 900)), *map(float, x)) for i, x in enumerate(p)]
+    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, p_good double, p_rough double, p_toxic double")
+    out = members.withColumn("rate", mixing.fit(members, mixing.TARGETS, lowest=1.0)).toPandas()
+    totals = (out[[f"p_{d}" for d in mixing.DOMAINS]].values * (out.n_tokens * out.rate).values[:, None]).sum(axis=0)
+    assert (out.rate >= 1).all()
+    assert np.allclose(totals / totals.sum(), [mixing.TARGETS[d] for d in mixing.DOMAINS], atol=2e-3)
+    alike = members.select("doc_id", "n_tokens", *[(F.lit(1.0) / 3).alias(f"p_{d}") for d in mixing.DOMAINS])
+    with pytest.warns(UserWarning, match="not reached"):
+        rate = mixing.fit(alike, mixing.TARGETS, lowest=1.0)
+    assert {r["r"] for r in alike.select(rate.alias("r")).collect()} == {1.0}
+
+
 # --- 9 ---
 
 

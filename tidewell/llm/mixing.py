@@ -2,13 +2,16 @@
 
 A table of hashed-word weights, counted from labelled documents, gives each document a posterior
 over domains. Nonnegative rates are then fitted so that the expected tokens of each domain match
-its target: projected gradient steps on the weighted least squares of the domain totals. The
-weights are the inverse of the totals' Gram matrix, for which a step of one is the exact
-Lipschitz step. Only domain totals (a handful of numbers) reach the driver.
+its share of the whole: projected steps on the weighted least squares of the domain totals. The
+weights are the inverse of the Gram matrix of the rows that aren't at the floor, for which a step of
+one is exact as long as the same rows stay there. Where rates have a floor above 0, the whole grows
+until no domain has to come down. Only domain totals (a handful of numbers) reach the driver.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +26,8 @@ BUCKETS = 4096
 PER_DOMAIN = 3000
 #: How many words' evidence a document's mean evidence counts as.
 STRENGTH = 40.0
+#: With a floor on rates: the totals tried, as multiples of the least at which no domain is above its target.
+SCALES = (1.1, 1.25, 1.5, 2.0, 3.0, 4.0, 6.0)
 
 
 def domains(labels: DataFrame) -> DataFrame:
@@ -64,32 +69,59 @@ def posteriors(docs: DataFrame, table: DataFrame, strength: float = STRENGTH) ->
 def fit(members: DataFrame, targets: dict[str, float], lowest: float = 0.0, rounds: int = 25, tolerance: float = 1e-3) -> Column:
     """The rate of each row of members (posteriors()), as a column: nonnegative, at least `lowest`.
 
-    Rounds end when no domain's expected total is off by more than `tolerance` of all tokens, or when
-    a round changes nothing more.
+    Rounds end when no domain's expected total is off by more than `tolerance` of all goals, or when
+    a round changes nothing more. The goals add up to all tokens. With a `lowest` above 0 a domain
+    above its target can't come down, so they add up to more, the next of SCALES being tried where a
+    fit ends outside the tolerance. If none ends inside, the rates with the closest shares are taken
+    (of alike ones the smallest total), and a warning names what was reached.
     """
     p = [F.col(f"p_{d}") for d in DOMAINS]
     n = F.col("n_tokens").cast("double")
     names = [(i, j) for i in range(len(p)) for j in range(i, len(p))]
-    first = members.agg(F.coalesce(F.sum(n), F.lit(0.0)), *[F.coalesce(F.sum(n * p[i] * p[j]), F.lit(0.0)) for i, j in names]).first()
-    everything = float(first[0])
-    if everything == 0:
-        return F.lit(max(1.0, lowest))
-    gram = np.zeros((len(p), len(p)))
-    for value, (i, j) in zip(first[1:], names, strict=True):
-        gram[i, j] = gram[j, i] = value
-    weights = np.linalg.inv(gram + 1e-9 * np.trace(gram) * np.eye(len(p)))
+
+    def sums(rate: Column, moves: Column) -> tuple[np.ndarray, np.ndarray]:
+        """(total of each domain at these rates, Gram matrix of the rows that move)."""
+        zero = F.lit(0.0)
+        row = members.agg(*[F.coalesce(F.sum(n * x * rate), zero) for x in p], *[F.coalesce(F.sum(F.when(moves, n * p[i] * p[j])), zero) for i, j in names]).first()
+        gram = np.zeros((len(p), len(p)))
+        for value, (i, j) in zip(row[len(p) :], names, strict=True):
+            gram[i, j] = gram[j, i] = value
+        return np.array(row[: len(p)], float), gram
+
+    even = F.lit(max(1.0, lowest))
+    start, gram = sums(even, F.lit(True))
+    if start.sum() == 0:
+        return even
+    ridge = 1e-9 * np.trace(gram) * np.eye(len(p))
     share = np.array([targets[d] for d in DOMAINS], float)
-    goal = share / share.sum() * everything
-    rate, last = F.lit(max(1.0, lowest)), np.inf
-    for _ in range(rounds):
-        totals = np.array(members.agg(*[F.sum(n * x * rate) for x in p]).first(), float)
-        off = np.abs(totals - goal).max()
-        if off <= tolerance * everything or abs(last - off) <= 1e-6 * everything:
-            break
-        last = off
-        step = weights @ (totals - goal)
-        rate = F.greatest(F.lit(float(lowest)), rate - sum((float(s) * x for s, x in zip(step, p, strict=True)), F.lit(0.0)))
-    return rate
+    share /= share.sum()
+    base = gram.sum(axis=1)  # each domain's tokens at rate 1: a row's posteriors add up to 1
+    whole, scales = float(base.sum()), (1.0,)
+    if lowest > 0:
+        whole, scales = max(whole, float((lowest * base[share > 0] / share[share > 0]).max())), SCALES
+    missed = lambda totals: float(np.abs(totals / totals.sum() - share).max())
+    best, least, reached = even, missed(start), start
+    for scale in scales:
+        goal = share * whole * scale
+        rate, totals, own, slope, last = even, start, gram, np.zeros(len(p)), np.inf
+        for k in range(rounds):
+            if k:
+                totals, own = sums(rate, rate > lowest)
+            off = np.abs(totals - goal).max()
+            if off <= tolerance * goal.sum():
+                return rate
+            if lowest == 0 or totals.sum() <= 1.5 * goal.sum():
+                if totals.sum() > 0 and (miss := missed(totals)) < least - tolerance / 10:
+                    best, least, reached = rate, miss, totals
+            if abs(last - off) <= 1e-6 * goal.sum():
+                break
+            last = off
+            slope = slope - np.linalg.solve(own + ridge, totals - goal)
+            rate = F.greatest(F.lit(float(lowest)), even + sum((float(s) * x for s, x in zip(slope, p, strict=True)), F.lit(0.0)))
+    if least > tolerance:
+        got = dict(zip(DOMAINS, (reached / reached.sum()).round(4).tolist(), strict=True))
+        warnings.warn(f"mixing: targets {dict(zip(DOMAINS, share.round(4).tolist(), strict=True))} not reached with rates of at least {lowest}: {got}", stacklevel=2)
+    return best
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, lowest: float = 0.0, per_domain: int = PER_DOMAIN, seed: int = 0) -> DataFrame:
