@@ -277,6 +277,10 @@ def test_pseudo_likelihood(docs, none):
     assert lm_scoring.score(none).count() == 0
 
 
+def test_lm_trains_on_every_window(docs):
+    assert lm_scoring.learn(docs).windows == sum(len((r[1] or "").split()) for r in corpus())
+
+
 # --- 8 ---
 
 

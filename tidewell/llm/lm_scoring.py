@@ -5,7 +5,7 @@ share hashed rows; words are put into classes of about equal mass. A token's pro
 its class given the two words on either side (the network, trained in numpy) times its share of
 the class (the counts). A document's score is the sum of its tokens' log-probabilities.
 
-Each task trains a copy on windows of its own documents, from a common start; the copies' weighted
+Each task trains a copy on all windows of its own documents, from a common start; the copies' weighted
 mean, formed in two levels by block of parameters, is the model. What is gathered grows with the
 corpus, what reaches the driver doesn't.
 """
@@ -27,8 +27,6 @@ from tidewell.llm.language_id import portions
 COMMON, SHARED, CLASSES, HIDDEN = 4096, 64, 128, 24
 #: Offsets of the context words.
 CONTEXT = (-2, -1, 1, 2)
-#: One document in DOC_RATE, and one of its tokens in TOKEN_RATE, is trained on.
-DOC_RATE, TOKEN_RATE = 4, 4
 _BLOCKS, _LANES = 16, 16
 _FLUSH = 200_000
 
@@ -110,6 +108,8 @@ class Network:
     def __init__(self, vocabulary: Vocabulary, seed: int = 0):
         rng = np.random.default_rng(seed)
         self.vocabulary = vocabulary
+        #: How many windows the parameters were trained on.
+        self.windows = 0
         self.table = rng.normal(0, 0.1, (len(CONTEXT), vocabulary.size + 1, HIDDEN)).astype(np.float32)
         self.out = rng.normal(0, 0.1, (HIDDEN, CLASSES)).astype(np.float32)
         self.bias = np.log(np.maximum(vocabulary.class_mass, 0.5) / vocabulary.class_mass.sum()).astype(np.float32)
@@ -147,9 +147,11 @@ class Network:
                 acc += g * g
                 own -= rate * g / np.sqrt(acc)
             for o, offset in enumerate(CONTEXT):
-                rows, of = np.unique(ids[at + offset], return_inverse=True)
-                g = np.zeros((len(rows), HIDDEN), np.float32)
-                np.add.at(g, of, back)
+                met = ids[at + offset]
+                order = np.argsort(met, kind="stable")
+                rows = met[order]
+                first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+                rows, g = rows[first], np.add.reduceat(back[order], first, axis=0)
                 seen[0][o, rows] += g * g
                 self.table[o, rows] -= rate * g / np.sqrt(seen[0][o, rows])
 
@@ -203,7 +205,7 @@ def learn(docs: DataFrame, seed: int = 0) -> Network:
         for batch in batches:
             for texts in portions(batch.column(0)):
                 ids, _ = own.vocabulary.read(texts)
-                spots = np.flatnonzero(ids < own.vocabulary.size)[turn % TOKEN_RATE :: TOKEN_RATE]
+                spots = np.flatnonzero(ids < own.vocabulary.size)
                 turn += 1
                 spots = np.random.default_rng([seed, turn]).permutation(spots)
                 own.train(ids, spots, seen)
@@ -220,10 +222,11 @@ def learn(docs: DataFrame, seed: int = 0) -> Network:
         return pa.table({"block": table["block"][:1], "lane": table["lane"][:1], "n": pa.array([n], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
 
     schema = "block int, lane int, n long, sums binary"
-    sampled = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(DOC_RATE)) == 0)).select(F.col("text").cast("binary").alias("text"))
-    blocks = sampled.mapInArrow(run, schema).groupBy("block", "lane").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema).collect()
+    texts = docs.where(F.col("text").isNotNull()).select(F.col("text").cast("binary").alias("text"))
+    blocks = texts.mapInArrow(run, schema).groupBy("block", "lane").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema).collect()
     if blocks:
         blocks.sort(key=lambda r: r["block"])
+        net.windows = blocks[0]["n"]
         net.load(np.concatenate([np.frombuffer(r["sums"], np.float64) / r["n"] for r in blocks]))
     return net
 
