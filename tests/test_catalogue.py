@@ -42,3 +42,11 @@ def test_entry_runs(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_every_seeker_and_code_counts(spark, sf):
+    con = connect(sf)
+    pairs = con.execute("SELECT (SELECT count(*) FROM documents) * (SELECT count(*) FROM benchmark)").fetchone()[0]
+    assert QUERIES["language_severity_all"](spark, sf).count() == pairs
+    out = QUERIES["prefix_proximity_all"](spark, sf).toPandas()
+    assert set(out.wanted) == set(out.code) and len(out) == out.code.nunique() ** 2

@@ -125,10 +125,19 @@ def severity():
     return T.language_severity(F.col("level"), F.col("working"), F.col("lang"), F.col("speaker"), local="de")
 
 
+def severities(spark, d, asked):
+    return facets(spark, d).join(F.broadcast(asked)).select("query_id", "doc_id", F.round(severity(), 6).alias("severity"))
+
+
 @query(f"WITH {_SEV} SELECT query_id, doc_id, round(severity, 6) AS severity FROM sev WHERE query_id < 8")
 def language_severity(spark, d):
-    few = speakers(spark, d).where("query_id < 8")
-    return facets(spark, d).join(F.broadcast(few)).select("query_id", "doc_id", F.round(severity(), 6).alias("severity"))
+    """The first eight seekers only, as its SQL states; language_severity_all has every seeker."""
+    return severities(spark, d, speakers(spark, d).where("query_id < 8"))
+
+
+@query(f"WITH {_SEV} SELECT query_id, doc_id, round(severity, 6) AS severity FROM sev")
+def language_severity_all(spark, d):
+    return severities(spark, d, speakers(spark, d))
 
 
 def constrained(spark, d, strength):
@@ -214,12 +223,26 @@ def suffix_resolve(spark, d):
 _CODES = "SELECT DISTINCT replace(p_brand, 'Brand#', '') || substr(p_partkey::VARCHAR, 1, 2) AS code FROM part"
 
 
+def codes(spark, d):
+    return table(spark, d, "part").select(F.concat(F.replace("p_brand", F.lit("Brand#"), F.lit("")), F.substring(F.col("p_partkey").cast("string"), 1, 2)).alias("code")).distinct()
+
+
+def proximities(found, wanted):
+    wanted = F.broadcast(wanted.withColumnRenamed("code", "wanted"))  # distinct codes: brands times two digits
+    return found.join(wanted).select("code", "wanted", T.prefix_proximity(F.col("code"), F.col("wanted")).alias("proximity"))
+
+
 @query(f"""WITH c AS ({_CODES}), w AS (SELECT * FROM c WHERE code LIKE '%1') SELECT c.code AS code, w.code AS wanted,
 CASE WHEN length(c.code) >= 4 AND length(w.code) >= 4 AND substr(c.code, 1, 4) = substr(w.code, 1, 4) THEN 1.0 WHEN length(c.code) >= 3 AND length(w.code) >= 3 AND substr(c.code, 1, 3) = substr(w.code, 1, 3) THEN 0.7 WHEN length(c.code) >= 2 AND length(w.code) >= 2 AND substr(c.code, 1, 2) = substr(w.code, 1, 2) THEN 0.4 WHEN substr(c.code, 1, 1) = substr(w.code, 1, 1) THEN 0.15 ELSE 0.0 END::DOUBLE AS proximity FROM c, w""")
 def prefix_proximity(spark, d):
-    codes = table(spark, d, "part").select(F.concat(F.replace("p_brand", F.lit("Brand#"), F.lit("")), F.substring(F.col("p_partkey").cast("string"), 1, 2)).alias("code")).distinct()
-    wanted = codes.where("code like '%1'").withColumnRenamed("code", "wanted")
-    return codes.join(F.broadcast(wanted)).select("code", "wanted", T.prefix_proximity(F.col("code"), F.col("wanted")).alias("proximity"))
+    """Wanted codes that end in 1 only, as its SQL states; prefix_proximity_all compares every pair."""
+    return proximities(codes(spark, d), codes(spark, d).where("code like '%1'"))
+
+
+@query(f"""WITH c AS ({_CODES}), w AS (SELECT * FROM c) SELECT c.code AS code, w.code AS wanted,
+CASE WHEN length(c.code) >= 4 AND length(w.code) >= 4 AND substr(c.code, 1, 4) = substr(w.code, 1, 4) THEN 1.0 WHEN length(c.code) >= 3 AND length(w.code) >= 3 AND substr(c.code, 1, 3) = substr(w.code, 1, 3) THEN 0.7 WHEN length(c.code) >= 2 AND length(w.code) >= 2 AND substr(c.code, 1, 2) = substr(w.code, 1, 2) THEN 0.4 WHEN substr(c.code, 1, 1) = substr(w.code, 1, 1) THEN 0.15 ELSE 0.0 END::DOUBLE AS proximity FROM c, w""")
+def prefix_proximity_all(spark, d):
+    return proximities(codes(spark, d), codes(spark, d))
 
 
 @query("""WITH p AS (SELECT s_suppkey, max(CASE WHEN substr(p_brand, 1, 8) = 'Brand#1' || (s_suppkey % 9 + 1) THEN 1.0 WHEN substr(p_brand, 1, 7) = 'Brand#1' THEN 0.7 ELSE 0.15 END::DOUBLE) AS proximity FROM supplier JOIN lineitem ON l_suppkey = s_suppkey JOIN part ON p_partkey = l_partkey GROUP BY 1)
