@@ -5,7 +5,7 @@ import random
 import pytest
 
 from compare import connect, rows
-from tidewell.operators.evaluation import pair_greedily, phrase_agreement, resample
+from tidewell.operators.evaluation import pair_greedily, phrase_agreement, rank_agreement, resample
 from tidewell.plans.catalogue import ORACLES, QUERIES
 
 
@@ -50,3 +50,19 @@ def test_every_seeker_and_code_counts(spark, sf):
     assert QUERIES["language_severity_all"](spark, sf).count() == pairs
     out = QUERIES["prefix_proximity_all"](spark, sf).toPandas()
     assert set(out.wanted) == set(out.code) and len(out) == out.code.nunique() ** 2
+
+
+def test_rank_correlation_counts_every_document(spark, sf):
+    out = QUERIES["rank_correlation_all"](spark, sf).toPandas()
+    assert out.n.sum() == connect(sf).execute("SELECT count(*) FROM documents").fetchone()[0]
+    rng = random.Random(1)
+    rows = [(g, rng.randrange(40), i * 37 - 900) for g, many in (("a", 300), ("b", 60)) for i in range(many)]
+    rng.shuffle(rows)
+    found = {r["g"]: r for r in rank_agreement(spark.createDataFrame(rows, "g string, x long, y long"), "g", "x", "y", width=16).collect()}
+    for g in ("a", "b"):
+        own = [(x, y) for k, x, y in rows if k == g]
+        sign = lambda v: (v > 0) - (v < 0)
+        s = sum(sign((p[0] - q[0]) * (p[1] - q[1])) for i, p in enumerate(own) for q in own[:i])
+        pairs = len(own) * (len(own) - 1) / 2
+        ties = sum(p[0] == q[0] for i, p in enumerate(own) for q in own[:i])
+        assert found[g]["n"] == len(own) and found[g]["kendall"] == pytest.approx(s / ((pairs - ties) * pairs) ** 0.5)

@@ -111,6 +111,33 @@ def auc(rows: DataFrame, by: list[str], score: str, positive: str) -> DataFrame:
     return below.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("n").alias("n_neg"), F.sum(F.col("p") * F.col("below")).alias("wins")).select(*by, "n_pos", "n_neg", F.try_divide(F.col("wins").cast("double"), (F.col("n_pos") * F.col("n_neg")).cast("double")).alias("auc"))
 
 
+def rank_agreement(rows: DataFrame, by: str, x: str, y: str, width: int = 1 << 14) -> DataFrame:
+    """(by, n, spearman, kendall) of the ranks by x and by y, all rows counting that have all three values.
+
+    Ranks are running counts: of equal values of x, and of buckets of about `width` values of y. Two rows'
+    ranks by y differ first in one binary digit, so each pair is met once: among the rows that share the digits
+    before, running counts along x tell how many pairs agree. Their windows are no longer than x has values.
+    Ties of x lower the first ranking's pairs.
+    """
+    known = rows.select(F.col(by), F.col(x).alias("x"), F.col(y).alias("y")).dropna()
+    low, high, n = known.agg(F.min("y"), F.max("y"), F.count("*")).first()
+    step = max(1.0, (float(high) - float(low) + 1) * width / n) if n else 1.0
+    kept = known.withColumn("k", F.floor((F.col("y").cast("double") - F.lit(float(low or 0))) / step))
+    first = kept.groupBy(by, "k").agg(F.count("*").alias("c")).withColumn("before", F.sum("c").over(Window.partitionBy(by).orderBy("k")) - F.col("c")).drop("c")
+    same = known.groupBy(by, "x").agg(F.count("*").alias("c")).withColumn("a", F.sum("c").over(Window.partitionBy(by).orderBy("x")) - F.col("c") + 1)
+    placed = kept.join(first, [by, "k"]).withColumn("b", F.col("before") + F.rank().over(Window.partitionBy(by, "k").orderBy("y")))
+    ranked = placed.join(same.select(by, "x", "a"), [by, "x"]).select(by, "a", "b")
+    digits = ranked.withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(n.bit_length())))).select(by, "l", "a", F.expr("shiftright(b, l + 1)").alias("prefix"), F.expr("shiftright(b, l) & 1").alias("bit"))
+    cells = digits.groupBy(by, "l", "prefix", "a").agg(F.sum("bit").alias("up"), (F.count("*") - F.sum("bit")).alias("down"))
+    w = Window.partitionBy(by, "l", "prefix").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
+    net = F.col("up") * F.coalesce(F.sum("down").over(w), F.lit(0)) - F.col("down") * F.coalesce(F.sum("up").over(w), F.lit(0))
+    agree = cells.select(by, net.alias("net")).groupBy(by).agg(F.sum("net").alias("s"))
+    ties = same.groupBy(by).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2.0).alias("ties"))
+    pairs = F.col("n") * (F.col("n") - 1) / 2.0
+    met = ranked.groupBy(by).agg(F.count("*").alias("n"), F.corr("a", "b").alias("spearman")).join(agree, by).join(ties, by)
+    return met.select(by, "n", "spearman", F.try_divide(F.col("s").cast("double"), F.sqrt((pairs - F.col("ties")) * pairs)).alias("kendall"))
+
+
 def precision_recall(tp: Column, fp: Column, fn: Column) -> list[Column]:
     """precision, recall, f1; null, not 0, where nothing can be divided by."""
     d = lambda a, b: F.try_divide(a.cast("double"), b.cast("double"))

@@ -168,20 +168,25 @@ def percentile_pick(spark, d):
     return run.groupBy("event_type").agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"), pick(0.99).alias("p99"))
 
 
+def correlations(ranked):
+    """AGG19 on two rankings a language; ties lower the first ranking's denominator."""
+    found = V.rank_agreement(ranked, "lang", "n_chars", "doc_id").where("n > 2")
+    return found.select("lang", "n", F.round("spearman", 6).alias("spearman"), F.round("kendall", 6).alias("kendall"))
+
+
 @query("""WITH r AS (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY n_chars) AS a, rank() OVER (PARTITION BY lang ORDER BY doc_id) AS b FROM documents WHERE doc_id % 97 = 0 OR doc_id % 89 = 0),
 k AS (SELECT x.lang, sum(sign((x.a - y.a) * (x.b - y.b))) / 2 AS s FROM r x JOIN r y ON x.lang = y.lang GROUP BY 1), t AS (SELECT lang, count(*) AS n, corr(a, b) AS rho, sum(ties) AS ties FROM (SELECT *, (count(*) OVER (PARTITION BY lang, a) - 1) / 2.0 AS ties FROM r) GROUP BY 1)
 SELECT lang, n, round(rho, 6) AS spearman, round(s / sqrt((n * (n - 1) / 2.0 - ties) * (n * (n - 1) / 2.0)), 6) AS kendall FROM k JOIN t USING (lang) WHERE n > 2""")
 def rank_correlation(spark, d):
-    """AGG19 on two short rankings a language; ties lower the first ranking's denominator."""
-    short = table(spark, d, "documents").where("doc_id % 97 = 0 or doc_id % 89 = 0")  # the rankings compared: a stated pool, as the metric's fifty
-    rank = lambda c: F.rank().over(Window.partitionBy("lang").orderBy(c))
-    r = short.select("lang", rank("n_chars").alias("a"), rank("doc_id").alias("b"))
-    tied = r.withColumn("ties", (F.count("*").over(Window.partitionBy("lang", "a")) - 1) / 2.0)
-    lists = tied.groupBy("lang").agg(F.count("*").alias("n"), F.corr("a", "b").alias("rho"), F.sum("ties").alias("ties"), F.collect_list(F.struct("a", "b")).alias("x"))
-    each = F.transform("x", lambda p: F.aggregate("x", F.lit(0.0), lambda s, q: s + F.signum((p["a"] - q["a"]) * (p["b"] - q["b"]))))
-    s = F.aggregate(each, F.lit(0.0), lambda t, v: t + v) / 2
-    pairs = F.col("n") * (F.col("n") - 1) / 2.0
-    return lists.select("lang", "n", F.round("rho", 6).alias("spearman"), F.round(F.try_divide(s, F.sqrt((pairs - F.col("ties")) * pairs)), 6).alias("kendall")).where("n > 2")
+    """AGG19 on the documents that its SQL states, some 2 %; rank_correlation_all ranks every document."""
+    return correlations(table(spark, d, "documents").where("doc_id % 97 = 0 or doc_id % 89 = 0"))
+
+
+@query("""WITH r AS (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY n_chars) AS a, rank() OVER (PARTITION BY lang ORDER BY doc_id) AS b FROM documents),
+k AS (SELECT x.lang, sum(sign((x.a - y.a) * (x.b - y.b))) / 2 AS s FROM r x JOIN r y ON x.lang = y.lang GROUP BY 1), t AS (SELECT lang, count(*) AS n, corr(a, b) AS rho, sum(ties) AS ties FROM (SELECT *, (count(*) OVER (PARTITION BY lang, a) - 1) / 2.0 AS ties FROM r) GROUP BY 1)
+SELECT lang, n, round(rho, 6) AS spearman, round(s / sqrt((n * (n - 1) / 2.0 - ties) * (n * (n - 1) / 2.0)), 6) AS kendall FROM k JOIN t USING (lang) WHERE n > 2""")
+def rank_correlation_all(spark, d):
+    return correlations(table(spark, d, "documents"))
 
 
 @query("SELECT event_type, round(sum(value * 0.5 + event_id % 100 * 2.5) / 1e6, 9) AS cost, sum(event_id % 100)::BIGINT AS tokens, round(sum(event_id % 100)::DOUBLE / greatest(1, sum(event_id % 100) + sum(user_id % 10)), 6) AS cache_hit FROM events GROUP BY 1")
