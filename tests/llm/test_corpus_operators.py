@@ -373,3 +373,13 @@ def test_toxicity(spark):
     assert (held.predicted == held.toxic).mean() > 0.95
     assert toxicity.classify(docs.limit(0), marks).count() == 0
     assert (toxicity.classify(docs, marks.limit(0)).toPandas().score == 0).all()
+
+
+def test_toxicity_calibrates_on_all_labels(spark, monkeypatch):
+    rng = random.Random(0)
+    rows = [(i, " ".join([rng.choice(["tree", "lake", "road"]) for _ in range(9)] + ["scum"] * (i % 2)), "en", i % 2) for i in range(1200)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    met = []
+    monkeypatch.setattr(toxicity.Model, "calibrate", lambda self, hist, negatives: met.append(hist.sum()))
+    toxicity.learn(frame.drop("toxic"), frame.select("doc_id", "toxic"), per_class=60)
+    assert met[0] > 0.75 * 1200 - 2 * (60 * 1.25 + 50) - 60

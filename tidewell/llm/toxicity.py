@@ -4,8 +4,8 @@ A word's embedding is the sum of a hashed row for the word and one for each of i
 prefixes (PREFIXES), so that inflected forms share what is learned of their stem.
 
 Filters of several widths slide over the word embeddings, each keeps its largest response over the
-whole text, and a logistic unit weighs them. Thresholds are calibrated for each language on rows
-kept from the fit; the language is guessed from the words, never read. Scores are then bent so
+whole text, and a logistic unit weighs them. Thresholds are calibrated for each language on all labelled
+rows that the fit didn't use, from histograms of their scores; the language is guessed from the words, never read. Scores are then bent so
 that each language's threshold lies at the same score.
 """
 
@@ -32,6 +32,10 @@ SIZE = 16
 CUT = 0.3
 #: Lengths of the prefixes that have rows of their own.
 PREFIXES = (4, 5, 6)
+#: Bins of a score's logit for each unit, and the largest logit told apart.
+FINE, FAR = 64, 20
+#: Labelled rows of each class that a language needs for a threshold of its own.
+ENOUGH = 20
 #: Distinct words that a task remembers before it starts afresh.
 MEMO = 200_000
 _GAP = max(WIDTHS)
@@ -152,8 +156,8 @@ class Net:
 class Model:
     """A fitted network with its language guess and thresholds."""
 
-    def __init__(self, rows: list[tuple[int, bytes, int, str | None]], negatives: float = 1.0, seed: int = 0):
-        """rows: (key, text, label, language or None). negatives: rows of label 0 that each sampled one stands for."""
+    def __init__(self, rows: list[tuple[int, bytes, int, str | None]], seed: int = 0):
+        """rows: (key, text, label, language or None)."""
         self.languages = sorted({r[3] or "" for r in rows}) or [""]
         counts = np.full((BUCKETS + 1, len(self.languages)), 0.01)
         known = Words()
@@ -169,19 +173,20 @@ class Model:
         texts = [r[1] for r in rows]
         self.net = Net(seed)
         self.both = len(rows) > 0 and 0 < label.mean() < 1
+        #: Keys of the rows that the network was fitted on.
+        self.fitted: list[int] = []
         if self.both:
             use = np.flatnonzero(~kept) if 0 < label[~kept].sum() < (~kept).sum() else np.arange(len(rows))
             self.net.fit([texts[i] for i in use], label[use], seed=seed)
+            self.fitted = sorted({rows[i][0] for i in use})
         self.net_table = self.net.table()
         self.threshold = np.full(len(self.languages), 0.5)
-        if self.both and kept.any():
-            p, tongue = self.raw([texts[i] for i in np.flatnonzero(kept)])
-            y = label[kept]
-            general = best_threshold(p, y, negatives)
-            for k in range(len(self.languages)):
-                own = tongue == k
-                enough = y[own].sum() >= 20 and (y[own] == 0).sum() >= 20
-                self.threshold[k] = best_threshold(p[own], y[own], negatives) if enough else general
+
+    def calibrate(self, hist: np.ndarray, negatives: float) -> None:
+        """hist[language, label, bin]: rows by guessed language; a language with less than ENOUGH rows of a class gets the threshold of all."""
+        general = best_threshold(hist.sum(axis=0), negatives)
+        for k, own in enumerate(hist):
+            self.threshold[k] = best_threshold(own, negatives) if (own.sum(axis=1) >= ENOUGH).all() else general
 
     def raw(self, texts: list[bytes | None], memo: "Memo | None" = None) -> tuple[np.ndarray, np.ndarray]:
         """(probability before calibration, index of the guessed language)."""
@@ -221,19 +226,49 @@ class Memo:
         return self.parts, self.tongue
 
 
-def best_threshold(p: np.ndarray, y: np.ndarray, negatives: float) -> float:
-    """The cut with the best F1 when each row of label 0 counts `negatives` times; halfway to the next lower score."""
-    order = np.argsort(-p, kind="stable")
-    hit = np.cumsum(y[order])
-    false = np.cumsum((1 - y[order]) * negatives)
-    f1 = 2 * hit / (hit + false + y.sum())
-    k = int(np.argmax(f1))
-    below = p[order[k + 1]] if k + 1 < len(p) else 0.0
-    return float((p[order[k]] + below) / 2)
+def bins(p: np.ndarray) -> np.ndarray:
+    """Number of each score's bin, by its logit."""
+    p = np.clip(p, 1e-12, 1 - 1e-12)
+    return np.clip(np.floor((np.log(p / (1 - p)) + FAR) * FINE), 0, 2 * FAR * FINE - 1).astype(np.int64)
+
+
+def best_threshold(hist: np.ndarray, negatives: float) -> float:
+    """The cut with the best F1 of hist[label, bin] when each row of label 0 counts `negatives` times; halfway to the next lower bin met."""
+    met = np.flatnonzero(hist.sum(axis=0))[::-1]
+    if not len(met):
+        return 0.5
+    hit, false = np.cumsum(hist[1, met]), np.cumsum(hist[0, met] * negatives)
+    k = int(np.argmax(2 * hit / np.maximum(hit + false + hist[1].sum(), 1e-9)))
+    edge = lambda b: 1 / (1 + np.exp(FAR - b / FINE))
+    return float((edge(met[k]) + (edge(met[k + 1] + 1) if k + 1 < len(met) else 0.0)) / 2)
+
+
+def histogram(rows: DataFrame, model: Model) -> np.ndarray:
+    """hist[language, label, bin] of rows (text binary, toxic), scored by the tasks."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # its size is fixed by the bucket count
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        memo = Memo(own)
+        hist = np.zeros((len(own.languages), 2, 2 * FAR * FINE), np.int64)
+        for batch in batches:
+            label, at = batch.column(1).to_numpy(), 0
+            for texts in portions(batch.column(0)):
+                p, tongue = own.raw(texts, memo)
+                np.add.at(hist, (tongue, label[at : at + len(texts)], bins(p)), 1)
+                at += len(texts)
+        k = np.flatnonzero(hist)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(hist.ravel()[k], pa.int64())], ["k", "n"])
+
+    out = np.zeros((len(model.languages), 2, 2 * FAR * FINE), np.int64)
+    counted = rows.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    for r in counted.collect():  # bins x languages x 2 at most
+        out.ravel()[r["k"]] = r["n"]
+    return out
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = 0) -> Model:
-    """A model from a bounded sample of the labelled rows that aren't held out."""
+    """A model from a bounded sample of the labelled rows that aren't held out, with thresholds from all the others."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = F.broadcast(bounded_sample(known, "toxic", per_class))  # per_class bounds it
     total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -241,10 +276,15 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed:
     held = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text"), lang.alias("lang"))
     rows = [(r["doc_id"], bytes(r["text"]), r["toxic"], r["lang"]) for r in held.join(sample, "doc_id").collect()]
     rows.sort(key=lambda r: (r[0], r[1], r[3] or ""))
-    zeros = sum(r[2] == 0 for r in rows)
-    ones = len(rows) - zeros
-    ratio = (total.get(0, 0) / max(zeros, 1)) / max(total.get(1, 0) / max(ones, 1), 1e-9)
-    return Model(rows, ratio, seed)
+    model = Model(rows, seed)
+    if model.both:
+        used = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in model.fitted], "doc_id long"))  # a part of the sample
+        model.fitted = []
+        rest = held.join(known, "doc_id").join(used, "doc_id", "left_anti")
+        hist = histogram(rest, model)
+        seen = hist.sum(axis=(0, 2))
+        model.calibrate(hist, (total.get(0, 0) / max(seen[0], 1)) / max(total.get(1, 0) / max(seen[1], 1), 1e-9))
+    return model
 
 
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
