@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import bounded_sample, held_out
+from tidewell.llm.common import bounded_sample, cut, held_out
 from tidewell.llm.language_id import portions
 
 #: Labelled documents fitted on, for each class, about; this bounds what the driver gets.
@@ -226,10 +226,10 @@ class Memo:
         return self.parts, self.tongue
 
 
-def bins(p: np.ndarray) -> np.ndarray:
-    """Number of each score's bin, by its logit."""
-    p = np.clip(p, 1e-12, 1 - 1e-12)
-    return np.clip(np.floor((np.log(p / (1 - p)) + FAR) * FINE), 0, 2 * FAR * FINE - 1).astype(np.int64)
+def bin_of(p: Column) -> Column:
+    """Number of a score's bin, by its logit."""
+    p = F.greatest(F.lit(1e-12), F.least(F.lit(1 - 1e-12), p))
+    return F.greatest(F.lit(0), F.least(F.lit(2 * FAR * FINE - 1), F.floor((F.log(p / (1 - p)) + FAR) * FINE))).cast("int")
 
 
 def best_threshold(hist: np.ndarray, negatives: float) -> float:
@@ -243,50 +243,64 @@ def best_threshold(hist: np.ndarray, negatives: float) -> float:
     return float((edge(met[k]) + (edge(met[k + 1] + 1) if k + 1 < len(met) else 0.0)) / 2)
 
 
-def histogram(rows: DataFrame, model: Model) -> np.ndarray:
-    """hist[language, label, bin] of rows (text binary, toxic), scored by the tasks."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # its size is fixed by the bucket count
+def raw_scores(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, p, tongue): each row's probability before calibration and the index of its guessed language."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is fixed by the bucket count
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         memo = Memo(own)
-        hist = np.zeros((len(own.languages), 2, 2 * FAR * FINE), np.int64)
         for batch in batches:
-            label, at = batch.column(1).to_numpy(), 0
-            for texts in portions(batch.column(0)):
-                p, tongue = own.raw(texts, memo)
-                np.add.at(hist, (tongue, label[at : at + len(texts)], bins(p)), 1)
-                at += len(texts)
-        k = np.flatnonzero(hist)
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(hist.ravel()[k], pa.int64())], ["k", "n"])
+            found = [own.raw(texts, memo) for texts in portions(batch.column(1))]
+            if found:
+                p, tongue = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(tongue.astype(np.int32))], ["doc_id", "p", "tongue"])
 
-    out = np.zeros((len(model.languages), 2, 2 * FAR * FINE), np.int64)
-    counted = rows.select("text", F.col("toxic").cast("long").alias("toxic")).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-    for r in counted.collect():  # bins x languages x 2 at most
-        out.ravel()[r["k"]] = r["n"]
-    return out
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, p double, tongue int")
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = 0) -> Model:
-    """A model from a bounded sample of the labelled rows that aren't held out, with thresholds from all the others."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the labelled documents that aren't held out."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def fit(docs: DataFrame, known: DataFrame, per_class: int = PER_CLASS, seed: int = 0) -> Model:
+    """A model from a bounded sample of the labelled rows, not yet calibrated."""
     sample = F.broadcast(bounded_sample(known, "toxic", per_class))  # per_class bounds it
-    total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     held = docs.where(F.col("text").isNotNull()).select("doc_id", F.col("text").cast("binary").alias("text"), lang.alias("lang"))
     rows = [(r["doc_id"], bytes(r["text"]), r["toxic"], r["lang"]) for r in held.join(sample, "doc_id").collect()]
     rows.sort(key=lambda r: (r[0], r[1], r[3] or ""))
-    model = Model(rows, seed)
-    if model.both:
-        used = F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in model.fitted], "doc_id long"))  # a part of the sample
-        model.fitted = []
-        rest = held.join(known, "doc_id").join(used, "doc_id", "left_anti")
-        hist = histogram(rest, model)
-        seen = hist.sum(axis=(0, 2))
-        model.calibrate(hist, (total.get(0, 0) / max(seen[0], 1)) / max(total.get(1, 0) / max(seen[1], 1), 1e-9))
+    return Model(rows, seed)
+
+
+def calibrated(model: Model, raw: DataFrame, known: DataFrame) -> Model:
+    """The model with thresholds from raw_scores() of all labelled rows that it wasn't fitted on.
+
+    Only ids, scores and labels are joined; the histogram's size is fixed by bins and languages.
+    """
+    if not model.both:
+        return model
+    spark = raw.sparkSession
+    total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    used = F.broadcast(spark.createDataFrame([(k,) for k in model.fitted], "doc_id long"))  # a part of the sample
+    model.fitted = []
+    rest = raw.where("doc_id is not null").join(used, "doc_id", "left_anti").join(known, "doc_id")
+    hist = np.zeros((len(model.languages), 2, 2 * FAR * FINE), np.int64)
+    for r in rest.groupBy("tongue", "toxic", bin_of(F.col("p")).alias("bin")).agg(F.count("*").alias("n")).collect():
+        hist[r["tongue"], r["toxic"], r["bin"]] = r["n"]
+    seen = hist.sum(axis=(0, 2))
+    model.calibrate(hist, (total.get(0, 0) / max(seen[0], 1)) / max(total.get(1, 0) / max(seen[1], 1), 1e-9))
     return model
 
 
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, seed: int = 0) -> Model:
+    """A model from a bounded sample of the labelled rows that aren't held out, with thresholds from all the others."""
+    known = known_labels(labels)
+    model = fit(docs, known, per_class, seed)
+    return calibrated(model, raw_scores(docs, model), known)
+
+
 def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, held_out, score, predicted): one row for each row of docs.
 
@@ -294,15 +308,11 @@ def classify(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) ->
     classes to learn from every score is 0. Repeated rows get equal scores; a null doc_id is
     scored, and isn't learned from. Other columns are ignored; an empty table gives an empty result.
     """
-    model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, per_class))  # its size is fixed by the bucket count
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model.value
-        memo = Memo(own)
-        for batch in batches:
-            found = [own.score(texts, memo) for texts in portions(batch.column(1))]
-            if found:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found))], ["doc_id", "score"])
-
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    known = known_labels(labels)
+    model = fit(docs, known, per_class)
+    raw = cut(raw_scores(docs, model))  # texts are scored once; what follows needs no text
+    model = calibrated(model, raw, known)
+    t = F.element_at(F.array(*[F.lit(float(x)) for x in np.clip(model.threshold, 1e-6, 1 - 1e-6)]), F.col("tongue") + 1)
+    p = F.col("p")
+    score = F.when(p < t, p / t * CUT).otherwise(CUT + (p - t) / (1 - t) * (1 - CUT)) if model.both else F.lit(0.0)
+    return raw.select("doc_id", held_out().alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
