@@ -54,14 +54,21 @@ def word_table(docs: DataFrame, labels: DataFrame, per_domain: int = PER_DOMAIN)
     return table.select("bucket", *[F.log((F.col(d) + 0.5) / (total[d] + 0.5 * BUCKETS)).alias(f"w_{d}") for d in DOMAINS])
 
 
-def posteriors(docs: DataFrame, table: DataFrame, strength: float = STRENGTH) -> DataFrame:
-    """(doc_id, n_tokens, p_good, p_rough, p_toxic), one row for each doc_id; without words all domains are alike."""
+def priors(labels: DataFrame) -> dict[str, float]:
+    """Each domain's share of the labelled documents (of counts with one added)."""
+    n = {d: 1.0 for d in DOMAINS} | {r["domain"]: r["n"] + 1.0 for r in domains(labels).groupBy("domain").agg(F.count("*").alias("n")).collect()}
+    return {d: n[d] / sum(n.values()) for d in DOMAINS}
+
+
+def posteriors(docs: DataFrame, table: DataFrame, prior: dict[str, float], strength: float = STRENGTH) -> DataFrame:
+    """(doc_id, n_tokens, p_good, p_rough, p_toxic), one row for each doc_id; without words the prior holds."""
     weights = F.broadcast(table)  # BUCKETS rows at most
     met = words(docs).join(weights, "bucket", "left")
     agg = met.groupBy("doc_id").agg(F.max("n_tokens").cast("long").alias("n_tokens"), F.count("w_good").alias("n"), *[F.sum(f"w_{d}").alias(f"s_{d}") for d in DOMAINS])
     mean = agg.select("doc_id", "n_tokens", *[F.coalesce(F.try_divide(f"s_{d}", "n"), F.lit(0.0)).alias(f"s_{d}") for d in DOMAINS])
+    mean = mean.select("doc_id", "n_tokens", *[(strength * F.col(f"s_{d}") + float(np.log(prior[d]))).alias(f"s_{d}") for d in DOMAINS])
     top = F.greatest(*[f"s_{d}" for d in DOMAINS])
-    raw = mean.select("doc_id", "n_tokens", *[F.exp(strength * (F.col(f"s_{d}") - top)).alias(f"e_{d}") for d in DOMAINS])
+    raw = mean.select("doc_id", "n_tokens", *[F.exp(F.col(f"s_{d}") - top).alias(f"e_{d}") for d in DOMAINS])
     total = sum((F.col(f"e_{d}") for d in DOMAINS), F.lit(0.0))
     return raw.select("doc_id", "n_tokens", *[(F.col(f"e_{d}") / total).alias(f"p_{d}") for d in DOMAINS])
 
@@ -133,7 +140,7 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     all posteriors are alike. Other columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
-    members = cut(posteriors(docs, word_table(docs, labels, per_domain)))
+    members = cut(posteriors(docs, word_table(docs, labels, per_domain), priors(labels)))
     rate = fit(members, targets or TARGETS, lowest)
     part = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
     return members.withColumn("rate", rate.cast("double")).withColumn("copies", (F.floor("rate") + (part < F.col("rate") - F.floor("rate")).cast("int")).cast("long"))
