@@ -1,13 +1,17 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts each token from both sides.
 
-Word counts come from the whole corpus. The commonest words have rows of their own, all others
-share hashed rows; words are put into classes of about equal mass. A token's probability is that of
-its class given the two words on either side (the network, trained in numpy) times its share of
-the class (the counts). A document's score is the sum of its tokens' log-probabilities.
-
-Each task trains a copy on all windows of its own documents, from a common start; the copies' weighted
-mean, formed in two levels by block of parameters, is the model. What is gathered grows with the
-corpus, what reaches the driver doesn't.
+Word counts come from the whole corpus. The commonest words have rows of their own, all others share
+rows by their endings; rows are put into classes by the words they stand beside. A token's
+probability is that of its class given the two words on either side (the network, trained in numpy)
+times its word's own count over the counts of the class. A document's score is the sum of its tokens'
+log-probabilities.
+
+Texts are read twice, for counts and to be written as numbers of rows. Every window is trained on
+once. Documents are dealt into shards by a hash of themselves, so that results depend on the
+corpus alone; shards are trained in rounds, each from the mean of the last round's copies, which is
+formed in two levels by block of parameters. What is gathered grows with the corpus, what reaches
+the driver doesn't. Counts of words without a row of their own never leave the executors: they meet
+the documents in a join.
 """
 
 from __future__ import annotations
@@ -15,6 +19,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +27,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.language_id import portions
+from tidewell.llm.common import cut, redeal, release, stash
 
-COMMON, SHARED, CLASSES, HIDDEN = 4096, 64, 128, 24
+COMMON, ENDINGS, CLASSES, HIDDEN = 4096, 256, 128, 24
+#: Bytes of a word's end that choose its shared row.
+ENDING = 3
 #: Offsets of the context words.
 CONTEXT = (-2, -1, 1, 2)
-_BLOCKS, _LANES = 16, 16
+#: Groups of neighbours that classes are made from: the commonest words one each, all others by ending.
+GROUPS, ALONE = 64, 48
+#: Rounds of training, and tokens in a shard, about. Beyond MOST_SHARDS shards grow instead.
+ROUNDS, SHARD, MOST_SHARDS = 4, 2_000_000, 16_384
+#: The largest weight of the last layer: exponents stay in range without a look for the largest.
+STEEP = 3.0
+_BLOCKS = 16
 _FLUSH = 200_000
+_PORTION = 200_000
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -54,45 +68,60 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary(dict):
-    """Row of each word; classes and shares of rows. The row after the last stands for no word."""
+    """Row of each word. Rows of common words come first, then those of endings; the row after the last stands for no word."""
 
-    def __init__(self, common: list[tuple[bytes, int]], shared: dict[int, tuple[int, int]]):
-        """common: (word, count), most frequent first. shared: bucket -> (tokens, different words) of all other words."""
+    def __init__(self, common: list[tuple[bytes, int]], endings: dict[int, int]):
+        """common: (word, count), most frequent first. endings: row among the shared ones -> tokens of all other words."""
         super().__init__((w, k) for k, (w, _) in enumerate(common))
         self.common = len(common)
-        self.size = self.common + SHARED
-        count = np.ones(self.size)
-        count[: self.common] = [n for _, n in common]
-        kinds = np.ones(self.size)
-        for k, (n, different) in shared.items():
-            count[self.common + k], kinds[self.common + k] = n + 1, different + 1
-        order = np.argsort(-count, kind="stable")
-        mass = np.cumsum(count[order]) / count.sum()
-        self.cls = np.empty(self.size, np.int64)
-        self.cls[order] = np.minimum((mass - 1e-12) * CLASSES, CLASSES - 1).astype(np.int64)
-        self.class_mass = np.bincount(self.cls, count, CLASSES)
-        self.share = np.log(count / self.class_mass[self.cls] / kinds)
+        self.size = self.common + ENDINGS
+        self.count = np.zeros(self.size)
+        self.count[: self.common] = [n for _, n in common]
+        for k, n in endings.items():
+            self.count[self.common + k] = n
+        ends = np.array([ALONE + _ending(w) % (GROUPS - ALONE) for w, _ in common] + [ALONE + k % (GROUPS - ALONE) for k in range(ENDINGS)], np.int64)
+        own = min(ALONE, self.common)
+        ends[:own] = np.arange(own)
+        self.group = ends
+        self.classify(np.zeros((self.size, GROUPS)))
+
+    def classify(self, beside: np.ndarray, rounds: int = 12, seed: int = 0) -> None:
+        """Put rows into CLASSES by k-means over the square roots of what they stand beside, weighted by their counts."""
+        overall = beside.sum(axis=0) + 1.0
+        spread = np.sqrt((beside + 20 * overall / overall.sum()) / (beside.sum(axis=1, keepdims=True) + 20))
+        rng = np.random.default_rng(seed)
+        weight = self.count + 1e-9
+        centre = spread[rng.choice(self.size, 1, p=weight / weight.sum())]
+        far = ((spread - centre) ** 2).sum(axis=1)
+        while len(centre) < CLASSES:
+            odds = far * weight
+            new = spread[rng.choice(self.size, 1, p=odds / odds.sum()) if odds.sum() > 0 else [len(centre) % self.size]]
+            centre = np.concatenate([centre, new])
+            far = np.minimum(far, ((spread - new) ** 2).sum(axis=1))
+        for _ in range(rounds):
+            self.cls = ((centre**2).sum(axis=1)[None, :] - 2 * spread @ centre.T).argmin(axis=1)
+            mass = np.bincount(self.cls, weight, CLASSES)
+            total = np.zeros_like(centre)
+            np.add.at(total, self.cls, spread * weight[:, None])
+            centre[mass > 0] = total[mass > 0] / mass[mass > 0, None]
+        self.class_mass = np.bincount(self.cls, self.count, CLASSES)
+        #: A word's log share of its class; a word of a shared row adds the logarithm of its own count.
+        self.share = -np.log(np.maximum(self.class_mass, 1.0))[self.cls]
+        self.share[: self.common] += np.log(self.count[: self.common])
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > self.common + 300_000:
             for w in list(self)[self.common :]:
                 del self[w]
-        found = self[word] = self.common + zlib.crc32(word) % SHARED
+        found = self[word] = self.common + _ending(word)
         return found
 
     def __reduce__(self):
         return _vocabulary, (list(self)[: self.common], {k: v for k, v in self.__dict__.items()})
 
-    def read(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(rows with gaps before, between and after texts, number of tokens of each text)."""
-        gap = [self.size] * max(CONTEXT)
-        ids = list(gap)
-        n = []
-        for text in texts:
-            own = [self[w] for w in (text or b"").lower().split()]
-            n.append(len(own))
-            ids += own + gap
-        return np.array(ids, np.int64), np.array(n, np.int64)
+
+def _ending(word: bytes) -> int:
+    return zlib.crc32(word[-ENDING:]) % ENDINGS
 
 
 def _vocabulary(words: list[bytes], state: dict) -> Vocabulary:
@@ -103,7 +132,7 @@ def _vocabulary(words: list[bytes], state: dict) -> Vocabulary:
 
 
 class Network:
-    """class of the middle word <- tanh(sum of one vector for each context word) ."""
+    """class of the middle word <- tanh(sum of one vector for each context word). Trained by Adagrad, with one step size a row."""
 
     def __init__(self, vocabulary: Vocabulary, seed: int = 0):
         rng = np.random.default_rng(seed)
@@ -112,70 +141,102 @@ class Network:
         self.windows = 0
         self.table = rng.normal(0, 0.1, (len(CONTEXT), vocabulary.size + 1, HIDDEN)).astype(np.float32)
         self.out = rng.normal(0, 0.1, (HIDDEN, CLASSES)).astype(np.float32)
-        self.bias = np.log(np.maximum(vocabulary.class_mass, 0.5) / vocabulary.class_mass.sum()).astype(np.float32)
+        self.bias = np.log(np.maximum(vocabulary.class_mass, 0.5) / max(1.0, vocabulary.class_mass.sum())).astype(np.float32)
+        self.seen_table = np.full((len(CONTEXT), vocabulary.size + 1), 1e-6, np.float32)
+        self.seen_out, self.seen_bias = np.full(self.out.shape, 1e-6, np.float32), np.full(CLASSES, 1e-6, np.float32)
+
+    _PARTS = ("table", "out", "bias", "seen_table", "seen_out", "seen_bias")
 
     def params(self) -> np.ndarray:
-        return np.concatenate([self.table.ravel(), self.out.ravel(), self.bias])
+        return np.concatenate([getattr(self, name).ravel() for name in self._PARTS])
 
     def load(self, flat: np.ndarray) -> None:
         at = 0
-        for name in ("table", "out", "bias"):
+        for name in self._PARTS:
             own = getattr(self, name)
             setattr(self, name, flat[at : at + own.size].astype(np.float32).reshape(own.shape))
             at += own.size
 
     def hidden(self, ids: np.ndarray, spots: np.ndarray) -> np.ndarray:
-        total = self.table[0][ids[spots + CONTEXT[0]]]
+        total = self.table[0].take(ids.take(spots + CONTEXT[0]), axis=0)
         for k, offset in enumerate(CONTEXT[1:], 1):
-            total += self.table[k][ids[spots + offset]]
-        return np.tanh(total)
+            total += self.table[k].take(ids.take(spots + offset), axis=0)
+        return np.tanh(total, out=total)
 
-    def train(self, ids: np.ndarray, spots: np.ndarray, seen: list[np.ndarray], batch: int = 512, rate: float = 0.05) -> None:
-        """Adagrad on the class's log-loss, one pass over spots."""
+    def train(self, ids: np.ndarray, spots: np.ndarray, batch: int = 2048, rate: float = 0.1) -> None:
+        """One pass over spots on the class's log-loss."""
         cls = self.vocabulary.cls
+        every = np.arange(batch)
         for k in range(0, len(spots), batch):
             at = spots[k : k + batch]
+            n = len(at)
             h = self.hidden(ids, at)
-            logits = h @ self.out + self.bias
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(at)), cls[ids[at]]] -= 1
-            p /= len(at)
-            back = (p @ self.out.T) * (1 - h * h)
-            grads = [h.T @ p, p.sum(axis=0)]
-            for own, acc, g in zip((self.out, self.bias), seen[1:], grads, strict=True):
+            p = h @ self.out
+            p += self.bias
+            np.exp(p, out=p)
+            p *= 1 / p.sum(axis=1, keepdims=True)
+            p[every[:n], cls[ids[at]]] -= 1
+            back = p @ self.out.T
+            back *= 1 - h * h
+            back *= 1 / n
+            g_out, g_bias = (h.T @ p) / n, p.sum(axis=0) / n
+            for own, acc, g in ((self.out, self.seen_out, g_out), (self.bias, self.seen_bias, g_bias)):
                 acc += g * g
                 own -= rate * g / np.sqrt(acc)
+            np.clip(self.out, -STEEP, STEEP, out=self.out)
+            np.minimum(self.bias, 0, out=self.bias)
             for o, offset in enumerate(CONTEXT):
-                met = ids[at + offset]
-                order = np.argsort(met, kind="stable")
-                rows = met[order]
-                first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-                rows, g = rows[first], np.add.reduceat(back[order], first, axis=0)
-                seen[0][o, rows] += g * g
-                self.table[o, rows] -= rate * g / np.sqrt(seen[0][o, rows])
+                met = ids.take(at + offset)
+                order = met.argsort(kind="stable")
+                rows = met.take(order)
+                first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+                rows, g = rows.take(first), np.add.reduceat(back.take(order, axis=0), first, axis=0)
+                acc = self.seen_table[o].take(rows) + (g * g).mean(axis=1)
+                self.seen_table[o][rows] = acc
+                g *= (rate / np.sqrt(acc))[:, None]
+                self.table[o][rows] -= g
 
     def log_probs(self, ids: np.ndarray, spots: np.ndarray) -> np.ndarray:
-        """The log-probability of each token given both sides."""
-        logits = self.hidden(ids, spots) @ self.out + self.bias
+        """The log-probability of each token given both sides, but for the logarithm of a rare word's count."""
+        p = self.hidden(ids, spots) @ self.out
+        p += self.bias
         own = ids[spots]
-        top = logits[np.arange(len(spots)), self.vocabulary.cls[own]].astype(np.float64)
-        most = logits.max(axis=1)
-        np.subtract(logits, most[:, None], out=logits)
-        np.exp(logits, out=logits)
-        return top - most - np.log(logits.sum(axis=1, dtype=np.float64)) + self.vocabulary.share[own]
-
-    def score(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of tokens, summed log-probability) of each whole text."""
-        ids, n = self.vocabulary.read(texts)
-        spots = np.flatnonzero(ids < self.vocabulary.size)
-        each = np.concatenate([[0.0], *(self.log_probs(ids, spots[k : k + 16_384]) for k in range(0, len(spots), 16_384))])
-        sums, ends = np.cumsum(each), np.cumsum(n)
-        return n, sums[ends] - sums[ends - n]
-
-
-def vocabulary(docs: DataFrame) -> Vocabulary:
-    counts = word_counts(docs).persist()
+        top = p[np.arange(len(spots)), self.vocabulary.cls[own]].astype(np.float64)
+        np.exp(p, out=p)
+        return top - np.log(p.sum(axis=1, dtype=np.float64)) + self.vocabulary.share[own]
+
+    def score(self, docs: list[np.ndarray]) -> np.ndarray:
+        """The summed log-probability of each document, given as rows of its words."""
+        ids, spots = lay_out(docs, self.vocabulary.size)
+        each = np.concatenate([[0.0], *(self.log_probs(ids, spots[k : k + 4096]) for k in range(0, len(spots), 4096))])
+        sums, n = np.cumsum(each), np.array([len(d) for d in docs], np.int64)
+        ends = np.cumsum(n)
+        return sums[ends] - sums[ends - n]
+
+
+def lay_out(docs: list[np.ndarray], none: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of all documents with gaps before, between and after them, places of the tokens)."""
+    gap = np.full(max(CONTEXT), none, np.uint16)
+    ids = np.concatenate([gap, *(x for d in docs for x in (d, gap))])
+    return ids, np.flatnonzero(ids != none)
+
+
+def portions(column: pa.Array, most: int = _PORTION) -> Iterator[list[np.ndarray]]:
+    """The column's documents in lists of about `most` tokens."""
+    own: list[np.ndarray] = []
+    size = 0
+    for x in column:
+        own.append(np.frombuffer(x.as_py(), np.uint16))
+        size += len(own[-1])
+        if size >= most:
+            yield own
+            own, size = [], 0
+    if own:
+        yield own
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """The rows of counts (word, n), all still in one class."""
     # a histogram of counts (some hundred rows) gives a threshold: else each partition sends its own top
     step = F.floor(F.log2("n") * 8).cast("int")
     above, least_step = 0, 0
@@ -186,67 +247,139 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     common = [(bytes(r["word"]), r["n"]) for r in counts.where(step >= least_step).orderBy(F.desc("n"), "word").limit(COMMON).collect()]
     if not common:
         return Vocabulary([], {})
-    least, last = common[-1][1], common[-1][0]
-    rest = counts.where((F.col("n") < least) | ((F.col("n") == least) & (F.col("word") > F.lit(last))))
-    shared = rest.groupBy((F.crc32("word") % SHARED).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()
-    counts.unpersist()
-    return Vocabulary(common, {r["k"]: (r["n"], r["kinds"]) for r in shared})
+    shared = rare(counts, common[-1]).groupBy((F.crc32(F.substring("word", -ENDING, ENDING)) % ENDINGS).alias("k")).agg(F.sum("n").alias("n")).collect()
+    return Vocabulary(common, {r["k"]: r["n"] for r in shared})
+
 
+def rare(counts: DataFrame, last: tuple[bytes, int]) -> DataFrame:
+    """Words without a row of their own; last: the last common word and its count."""
+    return counts.where((F.col("n") < last[1]) | ((F.col("n") == last[1]) & (F.col("word") > F.lit(last[0]))))
 
-def learn(docs: DataFrame, seed: int = 0) -> Network:
-    """The mean of networks that the tasks train on their own documents, weighted by windows."""
-    net = Network(vocabulary(docs), seed)
-    start = docs.sparkSession.sparkContext.broadcast(net)  # its size is fixed by the constants above
+
+def encode(docs: DataFrame, words: Vocabulary) -> DataFrame:
+    """(doc_id, h, n_tokens, ids, rare): documents as rows of their words (unsigned 16-bit), a hash of each, and its words without a row of their own, with spaces between."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)  # its size is fixed by the constants above
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        of = own.__getitem__
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1000):
+                batch = whole.slice(first, 1000)
+                ids, n, others = [], [], []
+                for x in batch.column(2):
+                    text = (x.as_py() or b"").lower().split()
+                    rows = np.fromiter(map(of, text), np.uint16, len(text))
+                    ids.append(rows.tobytes())
+                    n.append(len(text))
+                    others.append(b" ".join(compress(text, (rows >= own.common).tolist())))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(others, pa.binary())], ["doc_id", "h", "n_tokens", "ids", "rare"])
+
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("h"), F.col("text").cast("binary").alias("text"))
+    return given.mapInArrow(run, "doc_id long, h long, n_tokens long, ids binary, rare binary")
+
+
+def beside(encoded: DataFrame, words: Vocabulary) -> np.ndarray:
+    """How often each row stands beside each group of neighbours, at the offsets of the context."""
+    shared = encoded.sparkSession.sparkContext.broadcast((words.group, words.size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Network(start.value.vocabulary, seed)
-        seen = [np.full(x.shape, 1e-6, np.float32) for x in (own.table, own.out, own.bias)]
-        windows, turn = 0, 0
+        group, size = shared.value
+        wide = np.append(group, GROUPS).astype(np.int64)
+        total = np.zeros((size + 1) * (GROUPS + 1), np.int64)
         for batch in batches:
-            for texts in portions(batch.column(0)):
-                ids, _ = own.vocabulary.read(texts)
-                spots = np.flatnonzero(ids < own.vocabulary.size)
-                turn += 1
-                spots = np.random.default_rng([seed, turn]).permutation(spots)
-                own.train(ids, spots, seen)
-                windows += len(spots)
-        if windows:
-            flat = own.params().astype(np.float64) * windows
-            lane = TaskContext.get().partitionId() % _LANES
-            blobs = [x.tobytes() for x in np.array_split(flat, _BLOCKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array([lane] * _BLOCKS, pa.int32()), pa.array([windows] * _BLOCKS, pa.int64()), pa.array(blobs, pa.binary())], ["block", "lane", "n", "sums"])
+            for docs in portions(batch.column(0)):
+                ids, _ = lay_out(docs, size)
+                near = wide[ids]
+                cell = ids.astype(np.int64) * (GROUPS + 1)
+                for k in range(1, max(CONTEXT) + 1):
+                    total += np.bincount(cell[:-k] + near[k:], minlength=len(total)) + np.bincount(cell[k:] + near[:-k], minlength=len(total))
+        total = total.reshape(size + 1, GROUPS + 1)[:size, :GROUPS].ravel()
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(total[k], pa.int64())], ["k", "n"])
+
+    out = np.zeros(words.size * GROUPS)
+    counted = encoded.select("ids").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()  # rows x groups at most
+    out[counted["k"].to_numpy(np.int64)] = counted["n"]
+    return out.reshape(words.size, GROUPS)
+
+
+def learn(encoded: DataFrame, words: Vocabulary, seed: int = 0) -> Network:
+    """The network after ROUNDS rounds: each round's shards start from the mean of the last round's, weighted by windows."""
+    net = Network(words, seed)
+    tokens = encoded.agg(F.sum("n_tokens")).first()[0] or 0
+    if not tokens:
+        return net
+    n = ROUNDS * min(MOST_SHARDS, -(-tokens // (ROUNDS * SHARD)))
+    shards = cut(encoded.where("n_tokens > 0").select("h", "ids").repartition(n, "h").sortWithinPartitions("h", "ids").select("ids"))
+    lanes = max(1, round((n / ROUNDS) ** 0.5))
+    schema = "block int, lane int, shard int, n long, means binary"
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.float64) for x in table["sums"])
-        n = sum(table["n"].to_pylist())
-        return pa.table({"block": table["block"][:1], "lane": table["lane"][:1], "n": pa.array([n], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "block int, lane int, n long, sums binary"
-    texts = docs.where(F.col("text").isNotNull()).select(F.col("text").cast("binary").alias("text"))
-    blocks = texts.mapInArrow(run, schema).groupBy("block", "lane").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema).collect()
-    if blocks:
-        blocks.sort(key=lambda r: r["block"])
-        net.windows = blocks[0]["n"]
-        net.load(np.concatenate([np.frombuffer(r["sums"], np.float64) / r["n"] for r in blocks]))
+        table = table.sort_by("shard")
+        n = table["n"].to_numpy().astype(np.float64)
+        mean = sum(w * np.frombuffer(x.as_py(), np.float32) for w, x in zip(n / n.sum(), table["means"], strict=True))
+        return pa.table({"block": table["block"][:1], "lane": table["lane"][:1], "shard": table["shard"][:1], "n": pa.array([int(n.sum())], pa.int64()), "means": pa.array([mean.astype(np.float32).tobytes()], pa.binary())})
+
+    for turn in range(ROUNDS):
+        start = encoded.sparkSession.sparkContext.broadcast(net)  # its size is fixed by the constants above
+
+        def run(batches: Iterator[pa.RecordBatch], start=start, turn=turn) -> Iterator[pa.RecordBatch]:
+            own, windows = None, 0
+            for batch in batches:
+                for docs in portions(batch.column(0)):
+                    if own is None:
+                        own = Network(start.value.vocabulary, seed)
+                        own.load(start.value.params())
+                    ids, spots = lay_out(docs, own.vocabulary.size)
+                    own.train(ids, np.random.default_rng([seed, turn, windows]).permutation(spots))
+                    windows += len(spots)
+            if windows:
+                shard = TaskContext.get().partitionId()
+                blobs = [x.tobytes() for x in np.array_split(own.params(), _BLOCKS)]
+                same = lambda v, t: pa.array([v] * _BLOCKS, t)
+                yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), same(shard // ROUNDS % lanes, pa.int32()), same(shard, pa.int32()), same(windows, pa.int64()), pa.array(blobs, pa.binary())], ["block", "lane", "shard", "n", "means"])
+
+        own = shards.where(F.spark_partition_id() % ROUNDS == turn).mapInArrow(run, schema)
+        blocks = own.groupBy("block", "lane").applyInArrow(add, schema).groupBy("block").applyInArrow(add, schema).collect()
+        if blocks:
+            blocks.sort(key=lambda r: r["block"])
+            net.load(np.concatenate([np.frombuffer(r["means"], np.float32) for r in blocks]))
+            net.windows += blocks[0]["n"]
+        start.unpersist()
+        release(encoded.sparkSession)
     return net
 
 
-def score(docs: DataFrame, net: Network | None = None) -> DataFrame:
+def score(docs: DataFrame, seed: int = 0) -> DataFrame:
     """(doc_id, n_tokens, log_prob, mean_log_prob): one row for each row of docs.
 
     Null texts count as empty: no tokens, log_prob 0, mean_log_prob null. Repeated rows count as often as they
     occur in the statistics and get equal scores; a null doc_id is kept. Other columns are
-    ignored; an empty table gives an empty result.
+    ignored; an empty table gives an empty result. How docs is partitioned doesn't matter.
     """
-    model = docs.sparkSession.sparkContext.broadcast(net or learn(docs))
+    docs = docs.select("doc_id", "text")
+    counts = stash(word_counts(docs))
+    words = vocabulary(counts)
+    encoded = stash(encode(docs, words).withColumn("place", F.monotonically_increasing_id()))
+    words.classify(beside(encoded, words))
+    net = learn(encoded, words, seed)
+    model = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         for batch in batches:
-            found = [own.score(texts) for texts in portions(batch.column(1))]
+            found = [own.score(rows) for rows in portions(batch.column(3))]
             if found:
-                n, total = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(total)], ["doc_id", "n_tokens", "log_prob"])
-
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, log_prob double")
-    return scored.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.concatenate(found))], ["place", "doc_id", "n_tokens", "log_prob"])
+
+    scored = encoded.select("place", "doc_id", "n_tokens", "ids").mapInArrow(run, "place long, doc_id long, n_tokens long, log_prob double")
+    if words.common == COMMON:
+        last = list(words)[COMMON - 1]
+        # a word met once adds nothing: its logarithm is 0
+        often = rare(counts, (last, int(words.count[COMMON - 1]))).where("n > 1").select(F.xxhash64("word").alias("key"), F.log("n").alias("log_n"))
+        others = F.explode(F.split(F.col("rare").cast("string"), " "))
+        met = encoded.where("length(rare) > 0").select("place", others.alias("word")).select("place", F.xxhash64("word").alias("key"))
+        added = met.join(redeal(often, "key"), "key").groupBy("place").agg(F.sum("log_n").alias("added"))
+        scored = scored.join(redeal(added, "place"), "place", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("added", F.lit(0.0)))
+    return scored.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
