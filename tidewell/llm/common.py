@@ -6,7 +6,9 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +47,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: What a Python worker keeps from task to task, by operator: functions that drop it.
+WARM: dict[str, Callable[[], None]] = {}
+
+
+def cool() -> None:
+    """Drop what earlier tasks of other operators left in this Python worker."""
+    for drop in WARM.values():
+        drop()
+
+
 def give_back() -> None:
     """Return freed memory of this Python worker to the system: idle workers keep theirs otherwise."""
+    pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import bounded_sample, held_out
+from tidewell.llm.common import bounded_sample, cool, held_out
 
 #: Longest context, in bytes; a key of one more byte fits in 63 bits up to 6.
 ORDER = 4
@@ -200,6 +200,7 @@ def judged(docs: DataFrame, trees: Trees) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample that it comes from
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cool()
         own = model.value
         for batch in batches:
             names: list[str] = []
@@ -236,6 +237,7 @@ def keep_identified(docs: DataFrame, **options) -> DataFrame:
     text = docs.schema.fieldNames().index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cool()
         own = model.value
         for batch in batches:
             names: list[str] = []

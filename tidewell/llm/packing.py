@@ -11,10 +11,12 @@ third of all pieces is never gathered in one task.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut
+from tidewell.llm.common import WARM, cut, give_back
 
 CAPACITY = 4096
 #: Width of a length class, in tokens.
 STEP = 16
-#: Distinct words whose ids a task remembers.
+#: Distinct words whose ids a task remembers; beyond, it forgets all but the first half.
 MEMO = 800_000
 _PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+([.,;:!?*#$%&|]*)")
 
@@ -84,8 +86,8 @@ class WordIds:
             return b"".join([memo[w] for w in words])
         except KeyError:
             pass
-        if len(memo) > MEMO:
-            memo.clear()
+        if len(memo) > MEMO:  # what came first is common, as a rule
+            memo = self.memo = dict(islice(memo.items(), MEMO // 2))
         self.learn(list({w for w in words if w not in memo}))
         return b"".join([memo[w] for w in words])
 
@@ -96,6 +98,16 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def _forget() -> None:
+    if word_ids.cache_info().currsize:
+        word_ids.cache_clear()
+        gc.collect()
+        give_back()
+
+
+WARM["packing"] = _forget
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, step: int = STEP, end_id: int = 2) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, part, cls, nth): the cut pieces of each row of docs.
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import cut, redeal
+from tidewell.llm.common import cool, cut, redeal
 from tidewell.llm.graph import Forest, components
 
 #: Fingerprints in a tile, about; a row of the tile table is eight times as many bytes.
@@ -47,6 +47,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
     """(doc_id, fp): fp is the fingerprint as a signed long. Null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cool()
         for batch in batches:
             found = np.array([fingerprint(x.as_py(), shingle, seed) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
@@ -123,6 +124,7 @@ def links(distinct: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     met = pairs.join(tiles.select("tile", F.col("fps").alias("right")), "tile").select("mine", "tile", "left", "right")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cool()
         for batch in batches:
             for mine, other, left, right in zip(*batch.columns, strict=True):
                 a = left.values.to_numpy(zero_copy_only=False).view(np.uint64)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.llm.common import cut, give_back, release, stash
+from tidewell.llm.common import cool, cut, give_back, release, stash
 
 SIZE = 200
 ANCHOR = 40
@@ -245,6 +245,7 @@ def _pack(docs: DataFrame, chunk: int) -> DataFrame:
     names = [f.name for f in others]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cool()
         part, turn = TaskContext.get().partitionId(), 0
         for batch in batches:
             text = batch.column(len(names))
@@ -279,6 +280,7 @@ _NAMES = np.dtype([("a", "<u8"), ("b1", "<u8"), ("b2", "<u4"), ("many", "u1")])
 
 def _send_names(chunks: DataFrame, n: int, size: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cool()
         for batch in batches:
             for chunk, sizes, data in _rows(batch):
                 own = _open(sizes, data, size, anchor)
@@ -318,6 +320,7 @@ def _exchange(sent: DataFrame, value: str, answer) -> DataFrame:
     """One task a bucket: answer(list of its values) gives bytes for each row, which go back as (chunk, bucket, reply)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cool()
         table = pa.Table.from_batches(list(batches))
         if table.num_rows:
             order = np.argsort(table["chunk"].to_numpy(), kind="stable")
@@ -394,6 +397,7 @@ def _layout(own: Chunk, n: int, size: int) -> Iterator[tuple[int, np.ndarray, np
 
 def _send_blocks(joined: DataFrame, n: int, size: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cool()
         for batch in batches:
             for chunk, sizes, data, replies in _rows(batch):
                 own = _open(sizes, data, size, anchor)
@@ -465,6 +469,7 @@ def strip_repeats(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, chunk
     schema = T.StructType([*others, T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cool()
         for batch in batches:
             rests = batch.column(0)
             for row, (sizes, data, r0, r1) in enumerate(_rows(batch, 1)):
