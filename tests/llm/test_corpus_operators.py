@@ -75,11 +75,15 @@ def vectors(seed=0):
     return rows
 
 
-@pytest.mark.parametrize("tile", [2048, 4])
-def test_embeddings(spark, tile):
+@pytest.mark.parametrize("tile, kind", [(2048, "float"), (4, "float"), (2048, "double")])
+def test_embeddings(spark, tile, kind, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", 1 if tile == 4 else 64)
     rows = vectors()
-    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), tables=60, tile=tile).toPandas().set_index("vec_id")
-    good = [(i, np.array(v, float), l) for i, v, l in rows if l is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
+    if kind == "double":  # 1 and 1 + 1e-12 differ as doubles only
+        rows += [(300, [1.0] * 16, 0), (301, [1.0 + 1e-12] * 16, 0), (302, [1.0] * 15 + [-1e300], 0)]
+    frame = spark.createDataFrame([(*r, 1, "x") for r in rows], f"vec_id long, embedding array<{kind}>, label int, bucket int, cid string")
+    out = embedding_dedup.near_duplicates(frame, tables=60, tile=tile).toPandas().set_index("vec_id")
+    good = [(i, np.array(v, float) / max(map(abs, v)), l) for i, v, l in rows if l is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and any(v)]
     links = [(a, b) for k, (a, x, l) in enumerate(good) for b, y, m in good[:k] if l == m and len(x) == len(y) and x @ y / math.sqrt((x @ x) * (y @ y)) >= 0.98]
     count = collections.Counter(i for pair in links for i in pair)
     assert len(out) == len(rows) and links
@@ -88,6 +92,29 @@ def test_embeddings(spark, tile):
     assert (out.kept == (out.index == out.component_id)).all()
 
 
+def test_repeated_and_missing_vector_ids(spark):
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(5, a, 1), (5, b, 1), (7, b, 1), (None, a, 1), (9, a, 1), (9, a, 1)]
+    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in out), key=str)
+    assert got == sorted([(5, 2, 5, True), (5, 1, 5, True), (7, 1, 5, False), (None, 0, None, True), (9, 2, 5, False), (9, 2, 5, False)], key=str)
+
+
+@pytest.mark.parametrize("size", [64, 768])
+def test_embedding_recall_at_the_querys_parameters(spark, size):
+    rng = np.random.default_rng(size)
+    x = rng.normal(size=(600, size))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=x.shape)
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    y = 0.9801 * x + math.sqrt(1 - 0.9801**2) * side  # hardly above the limit
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([x, y]))]
+    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).toPandas().set_index("vec_id")
+    found = out.component_id.sort_index().to_numpy()[600:] == np.arange(600)
+    assert found.mean() >= 0.998 and out.n_links.sum() == 2 * found.sum()
+
+
 def test_no_embeddings(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
@@ -253,32 +280,110 @@ def test_quotes(spark):
     assert chat_format.conversations(frame.limit(0)).count() == 0
 
 
+def test_wrapped_quotes_and_candidates(spark):
+    rows = [
+        (1, 0, "The first part is long\nand goes on here.\n\nA second part."),
+        (1, 1, "> The first part\n> is long and goes on here.\nYes."),  # wrapped anew: a paragraph
+        (1, 2, "> The first part is\n> long and goes on here.\n>\n> A second part.\nok"),  # the whole
+        (1, 3, "> Yes.\n> nobody said this\nok"),  # a line of a passage
+        (1, 4, "ok"),
+        (1, 5, "> ok\n> > Yes.\nfine"),  # said by 2, 3 and 4: the last counts
+        (2, 0, "> ok\nelsewhere"),
+        (2, 1, "> elsewhere\n> elsewhere\n>> deep\nagain"),
+    ]
+    frame = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows] * 2, "conv_id long, turn long, role string, text string")
+    out = chat_format.conversations(frame).toPandas()
+    assert len(out) == 2 * len(rows)
+    got = {(r.conv_id, r.turn): (None if r.parent_turn != r.parent_turn else int(r.parent_turn), int(r.thread_turn), r.n_quoted, r.n_linked) for r in out.itertuples()}
+    assert got == {(1, 0): (None, 0, 0, 0), (1, 1): (0, 0, 2, 2), (1, 2): (0, 0, 3, 3), (1, 3): (1, 0, 2, 1), (1, 4): (None, 4, 0, 0), (1, 5): (4, 4, 2, 2), (2, 0): (None, 0, 1, 0), (2, 1): (0, 0, 3, 2)}
+
+
+def test_long_threads(spark):
+    rows = [(1, t, "user", (f"> word number {t - 1}\n" if t else "") + f"word number {t}") for t in range(150)]
+    out = chat_format.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {(r["thread_turn"], r["n"]) for r in out.groupBy("thread_turn").agg(F.count("*").alias("n")).collect()} == {(0, 150)}
+
+
 # --- 7 ---
 
 
-def test_pseudo_likelihood(docs, none):
-    net = lm_scoring.learn(docs)
-    out = lm_scoring.score(docs, net).toPandas()
-    v = net.vocabulary
-    for text in (corpus()[3][1], "one", ""):
-        ids = [v[w] for w in text.encode().lower().split()]
-        total = 0.0
+@pytest.mark.parametrize("common", [4096, 40])
+def test_pseudo_likelihood(docs, none, monkeypatch, common):
+    monkeypatch.setattr(lm_scoring, "COMMON", common)
+    counts = lm_scoring.word_counts(docs)
+    met = {bytes(r["word"]): r["n"] for r in counts.collect()}
+    assert met == dict(collections.Counter(w for r in corpus() for w in (r[1] or "").encode().lower().split()))
+    words = lm_scoring.vocabulary(counts)
+    encoded = lm_scoring.encode(docs, words).persist()
+    beside = np.zeros((words.size, lm_scoring.GROUPS))
+    for r in corpus():
+        ids = [words[w] for w in (r[1] or "").encode().lower().split()]
         for k, own in enumerate(ids):
+            for offset in lm_scoring.CONTEXT:
+                if 0 <= k + offset < len(ids):
+                    beside[own, words.group[ids[k + offset]]] += 1
+    assert (lm_scoring.beside(encoded, words) == beside).all()
+    words.classify(beside)
+    assert sum(met.values()) == words.class_mass.sum() == words.count.sum()
+    net = lm_scoring.learn(encoded, words)
+    assert net.windows == sum(met.values())
+    out = lm_scoring.score(docs).toPandas()
+    rare = set(met) - set(list(words)[: words.common])
+    for text in (corpus()[3][1], corpus()[4][1]):
+        ids = [words[w] for w in text.encode().lower().split()]
+        total = 0.0
+        for k, (own, w) in enumerate(zip(ids, text.encode().lower().split(), strict=True)):
             h = np.zeros(lm_scoring.HIDDEN)
             for o, offset in enumerate(lm_scoring.CONTEXT):
-                h += net.table[o][ids[k + offset] if 0 <= k + offset < len(ids) else v.size]
+                h += net.table[o][ids[k + offset] if 0 <= k + offset < len(ids) else words.size]
             z = np.tanh(h) @ net.out + net.bias
-            total += z[v.cls[own]] - np.log(np.exp(z).sum()) + v.share[own]
-        n, s = net.score(["ab cd".encode(), text.encode(), None])
-        assert n[1] == len(ids) and s[1] == pytest.approx(total, rel=1e-4, abs=1e-6) and s[2] == 0
+            mass = sum(n for v, n in met.items() if words.cls[words[v]] == words.cls[own])
+            total += z[words.cls[own]] - np.log(np.exp(z).sum()) + np.log(met[w] / mass)
+        got = out[out.doc_id == next(r[0] for r in corpus() if r[1] == text)].iloc[0]
+        assert got.n_tokens == len(ids) and got.log_prob == pytest.approx(total, rel=1e-4)
+    assert (len(rare) > 0) == (common == 40)
     assert len(out) == docs.count() and (out.log_prob <= 0).all() and out[out.n_tokens == 0].mean_log_prob.isna().all()
-    counts = {bytes(r["word"]): r["n"] for r in lm_scoring.word_counts(docs).collect()}
-    assert counts == dict(collections.Counter(w for r in corpus() for w in (r[1] or "").encode().lower().split()))
+    again = lm_scoring.score(docs.repartition(7)).toPandas()
+    order = lambda x: x.sort_values(["doc_id", "log_prob"]).log_prob.to_numpy()
+    assert np.allclose(order(out), order(again), rtol=1e-6)
     assert lm_scoring.score(none).count() == 0
 
 
-def test_lm_trains_on_every_window(docs):
-    assert lm_scoring.learn(docs).windows == sum(len((r[1] or "").split()) for r in corpus())
+def test_lm_step_is_the_gradient():
+    words = lm_scoring.Vocabulary([(b"%d" % k, 9 - k) for k in range(8)], {3: 5})
+    net, old = lm_scoring.Network(words, 1), lm_scoring.Network(words, 1)
+    ids, spots = lm_scoring.lay_out([np.array([0, 3, 5, 1, 11, 3], np.uint16), np.array([7], np.uint16)], words.size)
+    net.train(ids, spots, batch=64, rate=0.01)
+
+    def loss(model):
+        p = model.hidden(ids, spots).astype(float) @ model.out + model.bias
+        return -(p[np.arange(len(spots)), words.cls[ids[spots]]] - np.log(np.exp(p).sum(axis=1))).mean()
+
+    rng = np.random.default_rng(0)
+    slopes = {}
+    for name in ("table", "out", "bias"):
+        own = getattr(old, name)
+        for _ in range(12):
+            at = tuple(rng.integers(0, n) for n in own.shape)
+            kept = own[at]
+            own[at] = kept + 1e-2
+            up = loss(old)
+            own[at] = kept - 1e-2
+            slopes[name, at] = (up - loss(old)) / 2e-2
+            own[at] = kept
+    for (name, at), g in slopes.items():
+        step = getattr(net, name)[at] - getattr(old, name)[at]
+        acc = {"table": net.seen_table, "out": net.seen_out, "bias": net.seen_bias}[name][at[:2]]
+        assert step == pytest.approx(-0.01 * g / math.sqrt(acc), rel=0.05, abs=2e-5)
+
+
+def test_lm_prefers_the_given_order(spark):
+    rng = random.Random(0)
+    say = lambda: " ".join(w for _ in range(40) for w in (rng.choice("abc"), rng.choice("xyz") * 2, rng.choice("mno") * 3))
+    rows = [(i, say()) for i in range(300)]
+    mixed = [(1000 + i, " ".join(rng.sample(t.split(), 120))) for i, t in rows[:20]]
+    out = lm_scoring.score(spark.createDataFrame(rows + mixed, "doc_id long, text string")).toPandas().set_index("doc_id").mean_log_prob
+    assert out[out.index < 20].mean() > out[out.index >= 1000].mean() + 0.5
 
 
 # --- 8 ---
