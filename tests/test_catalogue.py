@@ -47,13 +47,13 @@ def test_entry_runs(spark):
 def test_every_seeker_and_code_counts(spark, sf):
     con = connect(sf)
     pairs = con.execute("SELECT (SELECT count(*) FROM documents) * (SELECT count(*) FROM benchmark)").fetchone()[0]
-    assert QUERIES["language_severity_all"](spark, sf).count() == pairs
-    out = QUERIES["prefix_proximity_all"](spark, sf).toPandas()
+    assert QUERIES["language_severity"](spark, sf).count() == pairs
+    out = QUERIES["prefix_proximity"](spark, sf).toPandas()
     assert set(out.wanted) == set(out.code) and len(out) == out.code.nunique() ** 2
 
 
 def test_rank_correlation_counts_every_document(spark, sf):
-    out = QUERIES["rank_correlation_all"](spark, sf).toPandas()
+    out = QUERIES["rank_correlation"](spark, sf).toPandas()
     assert out.n.sum() == connect(sf).execute("SELECT count(*) FROM documents").fetchone()[0]
     rng = random.Random(1)
     rows = [(g, rng.randrange(40), i * 37 - 900) for g, many in (("a", 300), ("b", 60)) for i in range(many)]

@@ -89,7 +89,9 @@ def anywhere(text: Column) -> Column:
 def canonical(text: Column) -> Column:
     """The comparison form: squeezed, lower case, digits masked unless they state a level, punctuation to spaces."""
     low = F.lower(squeeze(fold_chars(F.coalesce(text, F.lit("")))))
-    masked = F.regexp_replace(low, "(?iu)(?<![ABC])(?<!(?:niv[åa]|norskpr[øo]ve|trinn|spr[åa]kniv[åa]|level|grade)[^\\p{L}\\p{N}_]{0,3}\\d{0,9})\\p{Nd}+", "#")
+    # words that state a level are met first and keep their number: cheaper than looking back from each digit
+    kept = "((?:niv[åa]|norskpr[øo]ve|trinn|spr[åa]kniv[åa]|level|grade)[^\\p{L}\\p{N}_]{0,3}\\p{Nd}{1,9}|[abc]\\p{Nd})"
+    masked = F.regexp_replace(F.regexp_replace(low, kept + "|\\p{Nd}+", "$1#"), kept + "#", "$1")
     return F.btrim(F.regexp_replace(masked, "[^\\p{L}\\p{N}_#]+", " "), F.lit(" "))
 
 
@@ -110,6 +112,37 @@ def head_tail(text: Column, head: int = 3500, tail: int = 2500) -> Column:
     return F.when(F.length(text) > head + tail, F.concat(F.substr(text, F.lit(1), F.lit(head)), F.lit("\n[...]\n"), F.substr(text, F.length(text) - tail + 1, F.lit(tail)))).otherwise(text)
 
 
+def pairs(text: Column) -> Column:
+    """Neighbouring words as "a b", once each; what holds a comma or full stop is no pair and must be filtered by pair_of_words().
+
+    Strings, since Spark tells structs apart by comparing all of them.
+    """
+    all_ = F.regexp_extract_all(F.lower(text), F.lit(WORD + "|[,.]"), F.lit(0))
+    n = F.greatest(F.size(all_) - 1, F.lit(0))
+    return F.array_distinct(F.zip_with(F.slice(all_, F.lit(1), n), F.slice(all_, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+
+def pair_of_words(pair: Column) -> Column:
+    return F.translate(pair, ",.", "") == pair
+
+
+def evidence_key(text: Column) -> Column:
+    """What survives quoting: invisible signs and each line's leading marks dropped, one space between words, lower case (without NFKC)."""
+    clean = F.translate(F.translate(F.coalesce(text, F.lit("")), "\u00a0", " "), "\u200b\u2060\ufeff\u00ad", "")
+    bare = lambda x: F.when(x.rlike("[\\p{L}\\p{N}]"), F.regexp_replace(x, "^[^\\p{L}\\p{N}]+", "")).otherwise(x)
+    lines = F.filter(F.transform(F.split(clean, "\n"), lambda x: squeeze(bare(squeeze(x)))), lambda x: x != "")
+    return F.lower(F.array_join(lines, " "))
+
+
+def http_date(ts: Column) -> Column:
+    return F.date_format(ts, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
+
+
+def iso_timestamp(text: Column) -> Column:
+    """An ISO 8601 time with an offset or Z; null if it doesn't parse."""
+    return F.try_to_timestamp(text)
+
+
 def sentences(text: Column) -> Column:
     return F.split(text, "(?<=[.!?])\\s+")
 
@@ -129,6 +162,11 @@ def scrub_patterns(text: Column) -> Column:
     return F.translate(F.replace(F.regexp_replace(phoned, f"{NUMBER}?({OPEN}[^{CLOSE}]*{CLOSE}){NUMBER}?", "$1"), F.lit(NUMBER), F.lit(PHONE_MARK)), OPEN + CLOSE, "")
 
 
+def boilerplate(text: Column) -> Column:
+    """Legal and recruiting furniture, by its phrasing."""
+    return F.coalesce(text.rlike("(?i)" + BOILERPLATE), F.lit(False))
+
+
 def has_pii(text: Column) -> Column:
     masked = F.regexp_replace(text, DATE_OR_HOURS, OPEN)
     return masked.rlike(EMAIL) | masked.rlike(PHONE)

@@ -31,14 +31,15 @@ def overlap(rankings: DataFrame, a: str, b: str, k: int = 10) -> DataFrame:
 
 
 def metrics(rankings: DataFrame, judgments: DataFrame, k: int = 10, relevant: int = 2) -> DataFrame:
-    """(arm, query_id, cvr, ndcg, mrr, judged) from rankings (arm, query_id, doc_id, rank) and judgments (doc_id, grade, violates).
+    """(arm, query_id, cvr, ndcg, mrr, judged) from rankings (arm, query_id, doc_id, rank) and judgments (query_id, doc_id, grade, violates).
 
-    cvr divides by the number of ranked documents, at most k. Unjudged documents don't violate and gain
-    nothing. The ideal order is that of the query's judged pool, here all judgments.
+    A judgment belongs to a query and a document. cvr divides by the number of ranked documents, at
+    most k. Unjudged documents don't violate and gain nothing. The ideal order is that of the query's judged pool.
     """
-    top = rankings.where(F.col("rank") <= k).join(judgments, "doc_id", "left")
+    top = rankings.where(F.col("rank") <= k).join(judgments, ["query_id", "doc_id"], "left")
     gain = lambda g, r: (F.pow(F.lit(2.0), g) - 1) / F.log2(r + 1)
-    ideal = judgments.orderBy(F.desc("grade")).limit(k).agg(F.sort_array(F.collect_list("grade"), asc=False).alias("g")).select(F.aggregate(F.transform("g", lambda g, i: gain(g, i + 1)), F.lit(0.0), lambda s, x: s + x).alias("idcg"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("grade")))
+    ideal = judgments.withColumn("place", place).where(F.col("place") <= k).groupBy("query_id").agg(F.sum(gain(F.col("grade"), F.col("place"))).alias("idcg"))
     hit = F.min(F.when(F.col("grade") >= relevant, F.col("rank")))
     per = top.groupBy("arm", "query_id").agg(
         F.avg(F.coalesce(F.col("violates").cast("double"), F.lit(0.0))).alias("cvr"),
@@ -46,7 +47,8 @@ def metrics(rankings: DataFrame, judgments: DataFrame, k: int = 10, relevant: in
         F.coalesce(1.0 / hit, F.lit(0.0)).alias("mrr"),
         F.avg(F.col("grade").isNotNull().cast("double")).alias("judged"),
     )
-    return per.join(F.broadcast(ideal)).select("arm", "query_id", "cvr", F.coalesce(F.try_divide("dcg", "idcg"), F.lit(0.0)).alias("ndcg"), "mrr", "judged")
+    ndcg = F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0)
+    return per.join(ideal, "query_id", "left").select("arm", "query_id", "cvr", ndcg.alias("ndcg"), "mrr", "judged")
 
 
 def macro(per_query: DataFrame) -> DataFrame:

@@ -51,9 +51,11 @@ def clusters(items: DataFrame, key: str, signature: Column) -> DataFrame:
 
 
 def fan_out(items: DataFrame, key: str, signature: Column, results: DataFrame) -> DataFrame:
-    """Each item with the result of its group's representative. results has column rep."""
+    """Each item with the result of its group's representative; raises if one has none. results has column rep."""
     named = items.select(key, signature.alias("signature"))
-    return named.join(clusters(items, key, signature), "signature").select(key, "rep").join(results, "rep")
+    reps = clusters(items, key, signature)
+    complete(reps.select("rep"), results.select("rep").distinct(), ["rep"])
+    return named.join(reps, "signature").select(key, "rep").join(results, "rep")
 
 
 def agreement(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

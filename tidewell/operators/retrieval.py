@@ -6,8 +6,11 @@ hasn't stated changes nothing: the stage then returns the score it was given.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ SEVERITY = {"certified": 1.0, "professional": 1.0, "fluent": 1.0, "conversationa
 BLOCKING = ["certified", "fluent", "professional", "conversational"]
 SILENT_LOCAL, SILENT_OTHER = 0.5, 0.1
 SPEAKER = {"none": 1.0, "basic": 0.8, "conversational": 0.6, "fluent": 0.0, "native": 0.0}
+#: Different query terms that are listed in a filter; more are joined.
+LISTED = 20_000
 PREFIX_WEIGHTS = (0.0, 0.15, 0.40, 0.70, 1.00)
 
 
@@ -35,10 +40,10 @@ def postings(docs: DataFrame, ngrams: bool = False, title: str | None = None, wa
     if ngrams:  # from counted words: a word's n-grams are made once for each document
         grams = counted.withColumn("term", F.explode(X.char_ngrams(F.col("term"))))
         if wanted is not None:
-            grams = grams.join(F.broadcast(wanted.select("term")), "term", "left_semi")
+            grams = grams.join(wanted.select("term").distinct(), "term", "left_semi")
         counted = counted.unionByName(grams.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf")).withColumn("is_ngram", F.lit(True)))
     if wanted is not None:
-        counted = counted.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
+        counted = counted.join(wanted.select("term").distinct(), "term", "left_semi")
     return counted.select("doc_id", "term", "is_ngram", "tf")
 
 
@@ -64,20 +69,67 @@ def query_terms(queries: DataFrame, ngrams: bool = False) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, ngrams: bool = False, title: str | None = None) -> DataFrame:
     """(query_id, doc_id, score) of all pairs that share a term; any other pair's score is exactly 0.
 
-    The queries' terms are few and are broadcast, so that only postings of those terms leave the
-    scan's stage, already counted; documents' lengths come from the same scan of whole texts.
+    Without n-grams and titles the texts are read once: each row keeps its length and those of its
+    words that queries have; sizes, document frequencies and scores come from what is kept.
     """
     terms = query_terms(queries, ngrams)
-    found = postings(docs, ngrams, title, terms)
-    lengths = doc_lengths(docs)
-    size = lengths.agg(F.count("*").alias("n"), F.avg("doc_len").alias("mean")).first()
-    stats = found.groupBy("term").agg(F.count("*").alias("df"))  # (document, term) is unique
-    weighted = terms.join(stats, "term").select("query_id", "term", (F.col("weight") * idf(F.col("df"), size["n"])).alias("w"))
-    norm = K1 * (1 - B + B * F.col("doc_len") / F.lit(size["mean"]))
-    hits = found.join(F.broadcast(weighted), "term").join(lengths, "doc_id")
+    asked = terms.select("term").distinct().limit(LISTED + 1)
+    listed = [] if ngrams or title else [r["term"] for r in asked.collect()]
+    if listed and len(listed) <= LISTED:
+        # one row for each word at first, then one for each document and wanted term, and one for all its other words
+        word = docs.select("doc_id", F.explode_outer(X.words(F.col("text"))).alias("w"))
+        counted = word.groupBy("doc_id", F.when(F.col("w").isin(listed), F.col("w")).alias("term")).agg(F.count(F.when(~F.col("w").isin(X.STOPWORDS), 1)).alias("tf"))
+        kept = counted.withColumn("doc_len", F.sum("tf").over(Window.partitionBy("doc_id"))).persist()
+        size = kept.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len")).agg(F.count("*").alias("n"), F.avg("doc_len").alias("mean")).first()
+        found = kept.where("term is not null")
+        stats = found.groupBy("term").agg(F.count("*").alias("df"))
+    else:
+        found = postings(docs, ngrams, title, terms)
+        lengths = doc_lengths(docs)
+        size = lengths.agg(F.count("*").alias("n"), F.avg("doc_len").alias("mean")).first()
+        stats = found.groupBy("term").agg(F.count("*").alias("df"))  # (document, term) is unique
+        found = found.join(lengths, "doc_id")
+    return bm25_scores(found, terms, stats, size["n"], size["mean"])
+
+
+def bm25_scores(found: DataFrame, terms: DataFrame, stats: DataFrame, n: int, mean: float | None) -> DataFrame:
+    """Scores from postings (doc_id, doc_len, term, tf), query terms and document frequencies (term, df)."""
+    weighted = terms.join(stats, "term").select("query_id", "term", (F.col("weight") * idf(F.col("df"), n)).alias("w"))
+    norm = K1 * (1 - B + B * F.col("doc_len") / F.lit(mean))
+    hits = found.join(weighted, "term")
     return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("score"))
 
 
+def build_index(docs: DataFrame, path: str, buckets: int = 64) -> str:
+    """Write a BM25 index of docs: postings (doc_id, doc_len, tf by term, in folders by a hash of the term), terms with df, sizes.
+
+    Words are counted inside the row, so only different words of a document are dealt out, once.
+    """
+    ws = F.sort_array(X.content_words(F.coalesce("text", F.lit(""))))
+    own = docs.select("doc_id", ws.alias("ws")).withColumn("doc_len", F.size("ws"))
+    first = F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: (i == 0) | (F.get(F.col("ws"), i) != F.get(F.col("ws"), i - 1)))
+    own = own.withColumn("at", F.when(F.col("doc_len") > 0, first).otherwise(F.array().cast("array<int>")))
+    tf = F.transform("at", lambda a, i: F.struct(F.get(F.col("ws"), a).alias("term"), (F.coalesce(F.get(F.col("at"), i + 1), F.col("doc_len")) - a).alias("tf")))
+    rows = own.select("doc_id", "doc_len", F.explode(tf).alias("t")).select("doc_id", "doc_len", "t.term", F.col("t.tf").cast("long").alias("tf"), F.pmod(F.xxhash64("t.term"), F.lit(buckets)).cast("int").alias("bucket"))
+    rows.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(16))).sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    spark = docs.sparkSession
+    spark.read.parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+    doc_lengths(docs).agg(F.count("*").alias("n"), F.avg("doc_len").alias("mean")).write.mode("overwrite").parquet(f"{path}/size")
+    return path
+
+
+def search_index(spark, path: str, queries: DataFrame, buckets: int = 64) -> DataFrame:
+    """bm25() of a stored index: only folders and row groups that can hold a query's terms are read."""
+    terms = query_terms(queries)
+    listed = [r["term"] for r in terms.select("term").distinct().limit(LISTED + 1).collect()]
+    posting, known = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
+    if len(listed) <= LISTED:
+        folders = [r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct().collect()]
+        posting, known = posting.where(F.col("bucket").isin(folders) & F.col("term").isin(listed)), known.where(F.col("term").isin(listed))
+    size = spark.read.parquet(f"{path}/size").first()
+    return bm25_scores(posting.select("doc_id", "doc_len", "term", "tf"), terms, known, size["n"], size["mean"])
+
+
 def ranked(scores: DataFrame, k: int = 10, by: list[str] | None = None) -> DataFrame:
     """The k best documents of each query with a positive score; scores that agree to six places are ties, which go by document."""
     place = F.row_number().over(Window.partitionBy(*(by or ["query_id"])).orderBy(F.round("score", 6).desc(), F.asc("doc_id")))
@@ -184,8 +236,85 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score): cosines of a stated, small set of queries with all vectors, block by broadcast."""
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v)))
-    q = F.broadcast(queries.select("query_id", unit(F.col("embedding")).alias("q")))
-    return vectors.select("doc_id", unit(F.col("embedding")).alias("v")).join(q).select("query_id", "doc_id", dot(F.col("q"), F.col("v")).alias("score"))
+def dense(vectors: DataFrame, queries: DataFrame, block: int = 4096) -> DataFrame:
+    """(query_id, doc_id, score): cosines of a stated set of queries with all vectors, block against block.
+
+    Rows that are null, empty or zero have no cosine and are left out.
+    """
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            rows = [np.array(x, np.float64) if x is not None and len(x) and None not in x else None for x in batch.column(1).to_pylist()]
+            for size in sorted({len(r) for r in rows if r is not None}):
+                own = [k for k, r in enumerate(rows) if r is not None and len(r) == size and np.linalg.norm(r) > 0]
+                for k in range(0, len(own), block):
+                    unit = np.array([rows[i] / np.linalg.norm(rows[i]) for i in own[k : k + block]])
+                    yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([ids[own[k : k + block]].astype(np.int64).tobytes()], pa.binary()), pa.array([unit.tobytes()], pa.binary())], ["size", "ids", "unit"])
+
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for size, d, u, q, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                docs, asked = np.frombuffer(d, np.int64), np.frombuffer(q, np.int64)
+                score = np.frombuffer(v, np.float64).reshape(-1, size) @ np.frombuffer(u, np.float64).reshape(-1, size).T
+                for k, query in enumerate(asked):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), query)), pa.array(docs), pa.array(score[k])], ["query_id", "doc_id", "score"])
+
+    schema = "size int, ids binary, unit binary"
+    own = vectors.select("doc_id", "embedding").mapInArrow(blocks, schema)
+    asked = queries.select("query_id", "embedding").mapInArrow(blocks, schema).select("size", F.col("ids").alias("q"), F.col("unit").alias("v"))
+    return own.join(asked, "size").select("size", "ids", "unit", "q", "v").mapInArrow(product, "query_id long, doc_id long, score double")
+
+
+# --- what a seeker stated, and how far each stage is trusted -------------------------------------
+
+#: How often a stated constraint's words are repeated, and the weights of the resolution tiers.
+REPEATS = {"hard": 3, "soft": 1}
+EXACT_TRUST, FEW_TRUST, VAGUE_BONUS, OPEN_LIFT, TIE = 0.78, 0.62, 0.18, 0.22, 0.02
+MENTION = "(?i)(norwegian|norsk)"
+DENIAL = "(?i)\\b(no|not|don't|without|ikke|uten|ingen)\\b.{0,42}(norwegian|norsk)"
+
+
+def weighted_query(parts: DataFrame) -> DataFrame:
+    """(query_id, text): values of parts (query_id, place, value, priority), each repeated by its priority, in order."""
+    own = parts.select("query_id", "place", F.array_join(F.array_repeat("value", F.when(F.col("priority") == "hard", REPEATS["hard"]).otherwise(REPEATS["soft"])), " ").alias("said"))
+    return own.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "said"))), lambda x: x["said"]), " ").alias("text"))
+
+
+def stated_level(text: Column) -> Column:
+    """none if a denial stands at most 42 characters before a mention of the language; null if nothing is said of it."""
+    return F.when(text.rlike(DENIAL), "none").when(text.rlike(MENTION), "fluent")
+
+
+def staged_labels(phrases: DataFrame, labels: DataFrame, least: float = 0.30) -> DataFrame:
+    """(phrase_id, label, tier): exact labels; for phrases without one, equal token sets; for the rest, the most similar ones."""
+    key = lambda c: X.label_key(F.col(c))
+    exact = phrases.select("phrase_id", key("phrase").alias("k")).join(labels.select("label", key("label").alias("k")).where("k <> ''"), "k").select("phrase_id", "label", F.lit("exact").alias("tier"))
+    left = phrases.join(exact.select("phrase_id").distinct(), "phrase_id", "left_anti")
+    tokens = lambda c: F.array_join(F.sort_array(X.label_tokens(F.col(c))), " ")
+    same = left.select("phrase_id", tokens("phrase").alias("k")).join(labels.select("label", tokens("label").alias("k")).where("k <> ''"), "k").select("phrase_id", "label", F.lit("tokens").alias("tier"))
+    left = left.join(same.select("phrase_id").distinct(), "phrase_id", "left_anti")
+    near = resolve_jaccard(left, labels, least).select("phrase_id", "label", F.lit("similar").alias("tier"))
+    return exact.unionByName(same).unionByName(near)
+
+
+def trusted(score: Column, proximity: Column, exact: Column, n_codes: Column) -> Column:
+    """An exact label or few codes decide a share of the score; many codes only add a little."""
+    weigh = lambda t: score * (1 - t) + score * t * proximity
+    return F.when(n_codes == 0, score).when(exact, weigh(EXACT_TRUST)).when(n_codes <= 2, weigh(FEW_TRUST)).otherwise(score * (1 + VAGUE_BONUS * proximity))
+
+
+def open_lift(score: Column, open_: Column, speaker: Column, strength: float) -> Column:
+    """What is open to other speakers is lifted for those who speak little; at strength 0 nothing changes."""
+    return F.when(open_ & F.coalesce(speaker.isin("none", "basic"), F.lit(False)), score * (1 + OPEN_LIFT * strength)).otherwise(score)
+
+
+def identity_or_prefix(uri: Column, code: Column, uris: Column, codes: Column) -> Column:
+    """1 where the item's concept is one of those asked for, else the best prefix of its code; 0 if nothing resolved."""
+    best = F.aggregate(codes, F.lit(0.0), lambda s, c: F.greatest(s, F.coalesce(prefix_proximity(c, code), F.lit(0.0))))
+    return F.when(F.size(uris) == 0, 0.0).when(F.array_contains(uris, uri), 1.0).otherwise(best)
+
+
+def gazetteer(rows: DataFrame, place: str = "place") -> DataFrame:
+    """(municipal, county): each municipality with the county that it was first seen with."""
+    return rows.where("municipal is not null").groupBy(X.place_key(F.col("municipal")).alias("municipal")).agg(F.min_by(X.place_key(F.col("county")), place).alias("county"))

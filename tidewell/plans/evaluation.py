@@ -18,9 +18,10 @@ ARMS = ["raw", "soft", "hard"]
 _ARMS = _BM25 + "," + _SEV + """,
 a AS (SELECT 'raw' AS arm, query_id, doc_id, score FROM s UNION ALL SELECT 'soft', query_id, doc_id, score * (1 - 0.7 * severity) FROM s JOIN sev USING (query_id, doc_id) UNION ALL SELECT 'hard', query_id, doc_id, score * (1 - severity) FROM s JOIN sev USING (query_id, doc_id)),
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY arm, query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM a WHERE score > 0) WHERE rank <= 10),
-j AS (SELECT doc_id, quality * 2 + doc_id % 2 AS grade, toxic = 1 AS violates FROM labels),
-i AS (SELECT sum((pow(2.0, grade) - 1) / log2(rk + 1)) AS idcg FROM (SELECT grade, row_number() OVER (ORDER BY grade DESC) AS rk FROM j) WHERE rk <= 10),
-m AS (SELECT arm, query_id, avg(CASE WHEN violates THEN 1.0 ELSE 0.0 END) AS cvr, sum(coalesce((pow(2.0, grade) - 1) / log2(rank + 1), 0)) / max(idcg) AS ndcg, coalesce(1.0 / min(CASE WHEN grade >= 2 THEN rank END), 0) AS mrr, avg(CASE WHEN grade IS NULL THEN 0.0 ELSE 1.0 END) AS judged FROM r LEFT JOIN j USING (doc_id), i GROUP BY 1, 2)
+j AS (SELECT query_id, doc_id, quality * 2 + (doc_id + query_id) % 2 AS grade, toxic = 1 AS violates FROM (SELECT DISTINCT query_id, doc_id FROM r) JOIN labels USING (doc_id)),
+i AS (SELECT query_id, sum((pow(2.0, grade) - 1) / log2(rk + 1)) AS idcg FROM (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC) AS rk FROM j) WHERE rk <= 10 GROUP BY 1),
+m0 AS (SELECT arm, query_id, avg(CASE WHEN violates THEN 1.0 ELSE 0.0 END) AS cvr, sum(coalesce((pow(2.0, grade) - 1) / log2(rank + 1), 0)) / max(CASE WHEN idcg > 0 THEN idcg END) AS ndcg0, coalesce(1.0 / min(CASE WHEN grade >= 2 THEN rank END), 0) AS mrr, avg(CASE WHEN grade IS NULL THEN 0.0 ELSE 1.0 END) AS judged FROM r LEFT JOIN j USING (query_id, doc_id) LEFT JOIN i USING (query_id) GROUP BY 1, 2),
+m AS (SELECT arm, query_id, cvr, coalesce(ndcg0, 0.0) AS ndcg, mrr, judged FROM m0)
 """
 
 
@@ -34,12 +35,15 @@ def rankings(spark, d):
     return T.ranked(long, 10, ["arm", "query_id"])
 
 
-def judgments(spark, d):
-    return table(spark, d, "labels").select("doc_id", (F.col("quality") * 2 + F.col("doc_id") % 2).alias("grade"), (F.col("toxic") == 1).alias("violates"))
+def judgments(spark, d, ranks):
+    """Judged pairs of the pool: a label's document, with a grade that depends on the query too."""
+    grade = (F.col("quality") * 2 + (F.col("doc_id") + F.col("query_id")) % 2).alias("grade")
+    return V.pool(ranks).join(table(spark, d, "labels"), "doc_id").select("query_id", "doc_id", grade, (F.col("toxic") == 1).alias("violates"))
 
 
 def per_query(spark, d):
-    return V.metrics(rankings(spark, d), judgments(spark, d))
+    ranks = rankings(spark, d).persist()  # ten rows for each arm and query
+    return V.metrics(ranks, judgments(spark, d, ranks))
 
 
 @query(_ARMS + "SELECT arm, query_id, doc_id, rank, round(score, 6) AS score FROM r")
@@ -174,18 +178,10 @@ def correlations(ranked):
     return found.select("lang", "n", F.round("spearman", 6).alias("spearman"), F.round("kendall", 6).alias("kendall"))
 
 
-@query("""WITH r AS (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY n_chars) AS a, rank() OVER (PARTITION BY lang ORDER BY doc_id) AS b FROM documents WHERE doc_id % 97 = 0 OR doc_id % 89 = 0),
-k AS (SELECT x.lang, sum(sign((x.a - y.a) * (x.b - y.b))) / 2 AS s FROM r x JOIN r y ON x.lang = y.lang GROUP BY 1), t AS (SELECT lang, count(*) AS n, corr(a, b) AS rho, sum(ties) AS ties FROM (SELECT *, (count(*) OVER (PARTITION BY lang, a) - 1) / 2.0 AS ties FROM r) GROUP BY 1)
-SELECT lang, n, round(rho, 6) AS spearman, round(s / sqrt((n * (n - 1) / 2.0 - ties) * (n * (n - 1) / 2.0)), 6) AS kendall FROM k JOIN t USING (lang) WHERE n > 2""")
-def rank_correlation(spark, d):
-    """AGG19 on the documents that its SQL states, some 2 %; rank_correlation_all ranks every document."""
-    return correlations(table(spark, d, "documents").where("doc_id % 97 = 0 or doc_id % 89 = 0"))
-
-
 @query("""WITH r AS (SELECT lang, rank() OVER (PARTITION BY lang ORDER BY n_chars) AS a, rank() OVER (PARTITION BY lang ORDER BY doc_id) AS b FROM documents),
 k AS (SELECT x.lang, sum(sign((x.a - y.a) * (x.b - y.b))) / 2 AS s FROM r x JOIN r y ON x.lang = y.lang GROUP BY 1), t AS (SELECT lang, count(*) AS n, corr(a, b) AS rho, sum(ties) AS ties FROM (SELECT *, (count(*) OVER (PARTITION BY lang, a) - 1) / 2.0 AS ties FROM r) GROUP BY 1)
 SELECT lang, n, round(rho, 6) AS spearman, round(s / sqrt((n * (n - 1) / 2.0 - ties) * (n * (n - 1) / 2.0)), 6) AS kendall FROM k JOIN t USING (lang) WHERE n > 2""")
-def rank_correlation_all(spark, d):
+def rank_correlation(spark, d):
     return correlations(table(spark, d, "documents"))
 
 

@@ -110,14 +110,14 @@ def pii_mail_flag(spark, d):
 
 @query()
 def pii_scrub(spark, d):
-    """TXT20; RE2 has no lookbehind, so this is tested against the contact-scoped function."""
-    return docs(spark, d).where(X.has_pii(F.col("text"))).select("doc_id", X.scrub_patterns(F.col("text")).alias("text"))
+    """TXT20, every text; RE2 has no lookbehind, so this is tested against the contact-scoped function."""
+    return docs(spark, d).select("doc_id", X.scrub_patterns(F.col("text")).alias("text"))
 
 
 @query()
 def normalise_text(spark, d):
     """TXT1 with NFKC, for which neither engine has an expression."""
-    return docs(spark, d).select("doc_id", F.length(X.nfkc("text")).alias("n"))
+    return docs(spark, d).select("doc_id", X.nfkc("text").alias("text"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(translate(text, '‘’“”' || chr(160) || chr(8201) || chr(8239) || '–—' || chr(173), '''''\"\"   --'), '[\\t\\f\\v\\r ]+', ' ', 'g'), E' \\t\\n\\r') AS text FROM documents".replace("\\\\", "\\"))

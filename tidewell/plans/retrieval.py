@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
 from tidewell.operators import retrieval as T
 from tidewell.operators.relational import top_n
 from tidewell.plans.registry import Registry
-from tidewell.sources.tables import table
+from tidewell.sources.tables import scratch, table
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -54,7 +56,7 @@ def doc_lengths(spark, d):
 
 @query(_BM25 + "SELECT term, df FROM df")
 def document_frequency(spark, d):
-    return T.postings(docs(spark, d)).groupBy("term").agg(F.count("*").alias("df"))
+    return docs(spark, d).select(F.explode(F.array_distinct(X.content_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 @query(_BM25 + "SELECT term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf, round(ln(1 + n / (df + 1)), 6) AS skill_idf FROM df, size")
@@ -81,6 +83,13 @@ def bm25_topk(spark, d):
     return rounded(T.ranked(T.bm25(docs(spark, d), seekers(spark, d))))
 
 
+@query(_BM25 + _TOP.format("s"))
+def bm25_index_topk(spark, d):
+    """The same from a stored index: written to the shared folder, read back with the queries' terms only."""
+    path = f"{scratch(spark)}/bm25-{uuid.uuid4().hex}"
+    return rounded(T.ranked(T.search_index(spark, T.build_index(docs(spark, d), path), seekers(spark, d))))
+
+
 @query(f"""
 WITH d AS (SELECT doc_id, list_concat({_CW.format("coalesce(source, '') || ' ' || coalesce(source, '') || ' ' || coalesce(source, '')")}, {_CW.format("coalesce(text, '')")}) AS ws, len({_CW.format("coalesce(text, '')")}) AS dl FROM documents),
 size AS (SELECT count(*) AS n, avg(dl) AS mean FROM d),
@@ -129,14 +138,8 @@ def severities(spark, d, asked):
     return facets(spark, d).join(F.broadcast(asked)).select("query_id", "doc_id", F.round(severity(), 6).alias("severity"))
 
 
-@query(f"WITH {_SEV} SELECT query_id, doc_id, round(severity, 6) AS severity FROM sev WHERE query_id < 8")
-def language_severity(spark, d):
-    """The first eight seekers only, as its SQL states; language_severity_all has every seeker."""
-    return severities(spark, d, speakers(spark, d).where("query_id < 8"))
-
-
 @query(f"WITH {_SEV} SELECT query_id, doc_id, round(severity, 6) AS severity FROM sev")
-def language_severity_all(spark, d):
+def language_severity(spark, d):
     return severities(spark, d, speakers(spark, d))
 
 
@@ -232,16 +235,9 @@ def proximities(found, wanted):
     return found.join(wanted).select("code", "wanted", T.prefix_proximity(F.col("code"), F.col("wanted")).alias("proximity"))
 
 
-@query(f"""WITH c AS ({_CODES}), w AS (SELECT * FROM c WHERE code LIKE '%1') SELECT c.code AS code, w.code AS wanted,
-CASE WHEN length(c.code) >= 4 AND length(w.code) >= 4 AND substr(c.code, 1, 4) = substr(w.code, 1, 4) THEN 1.0 WHEN length(c.code) >= 3 AND length(w.code) >= 3 AND substr(c.code, 1, 3) = substr(w.code, 1, 3) THEN 0.7 WHEN length(c.code) >= 2 AND length(w.code) >= 2 AND substr(c.code, 1, 2) = substr(w.code, 1, 2) THEN 0.4 WHEN substr(c.code, 1, 1) = substr(w.code, 1, 1) THEN 0.15 ELSE 0.0 END::DOUBLE AS proximity FROM c, w""")
-def prefix_proximity(spark, d):
-    """Wanted codes that end in 1 only, as its SQL states; prefix_proximity_all compares every pair."""
-    return proximities(codes(spark, d), codes(spark, d).where("code like '%1'"))
-
-
 @query(f"""WITH c AS ({_CODES}), w AS (SELECT * FROM c) SELECT c.code AS code, w.code AS wanted,
 CASE WHEN length(c.code) >= 4 AND length(w.code) >= 4 AND substr(c.code, 1, 4) = substr(w.code, 1, 4) THEN 1.0 WHEN length(c.code) >= 3 AND length(w.code) >= 3 AND substr(c.code, 1, 3) = substr(w.code, 1, 3) THEN 0.7 WHEN length(c.code) >= 2 AND length(w.code) >= 2 AND substr(c.code, 1, 2) = substr(w.code, 1, 2) THEN 0.4 WHEN substr(c.code, 1, 1) = substr(w.code, 1, 1) THEN 0.15 ELSE 0.0 END::DOUBLE AS proximity FROM c, w""")
-def prefix_proximity_all(spark, d):
+def prefix_proximity(spark, d):
     return proximities(codes(spark, d), codes(spark, d))
 
 
@@ -316,17 +312,17 @@ def mean_similarity(spark, d):
     return cosines(spark, d).join(labels, "doc_id").groupBy("query_id", "label").agg(F.round(F.avg("score"), 6).alias("mean_score"), F.count("*").alias("n"))
 
 
-_BIGRAM = f"""WITH g AS (SELECT doc_id, unnest(range(1, len(ws))) AS i, ws FROM (SELECT doc_id, {_W.format('text')} AS ws FROM documents)), b AS (SELECT DISTINCT doc_id, ws[i] AS a, ws[i + 1] AS b FROM g),
-w AS (SELECT word, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_W.format('text')}) AS word FROM documents) GROUP BY 1), n AS (SELECT count(*) AS n FROM documents), p AS (SELECT a, b, count(*) AS df FROM b GROUP BY 1, 2)"""
+_BIGRAM = f"""WITH g AS MATERIALIZED (SELECT doc_id, {_W.format('seg')} AS ws FROM (SELECT doc_id, unnest(string_split_regex(text, '[,.]')) AS seg FROM documents)), b AS (SELECT DISTINCT doc_id, unnest(ws[1:len(ws) - 1]) AS a, unnest(ws[2:]) AS b FROM g WHERE len(ws) > 1),
+w AS MATERIALIZED (SELECT word, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(ws) AS word FROM g) GROUP BY 1), n AS (SELECT count(*) AS n FROM documents), p AS MATERIALIZED (SELECT a, b, count(*) AS df FROM b GROUP BY 1, 2)"""
 
 
 @query(_BIGRAM + "SELECT p.a, p.b, p.df FROM p JOIN w x ON x.word = p.a JOIN w y ON y.word = p.b, n WHERE p.df >= 5 AND ln(1 + n / (p.df + 1)) > greatest(ln(1 + n / (x.df + 1)), ln(1 + n / (y.df + 1))) + 0.5")
 def bigram_admission(spark, d):
-    """Pairs of neighbouring words that are rarer than either word by a margin."""
+    """Pairs of neighbouring words, not across a comma or full stop, that are rarer than either word by a margin."""
     listed = docs(spark, d).select("doc_id", X.words(F.col("text")).alias("ws"))
     n = docs(spark, d).count()
-    pairs = listed.select("doc_id", F.explode(F.array_distinct(F.arrays_zip(F.slice("ws", F.lit(1), F.greatest(F.size("ws") - 1, F.lit(0))).alias("a"), F.slice("ws", 2, F.greatest(F.size("ws") - 1, F.lit(0))).alias("b")))).alias("p")).select("p.a", "p.b")
-    df = pairs.groupBy("a", "b").agg(F.count("*").alias("df")).where("df >= 5")
+    pairs = docs(spark, d).select(F.explode(X.pairs(F.col("text"))).alias("p")).where(X.pair_of_words(F.col("p")))
+    df = pairs.groupBy("p").agg(F.count("*").alias("df")).where("df >= 5").select(F.split_part("p", F.lit(" "), F.lit(1)).alias("a"), F.split_part("p", F.lit(" "), F.lit(2)).alias("b"), "df")
     words = listed.select(F.explode(F.array_distinct("ws")).alias("w")).groupBy("w").agg(F.count("*").alias("wdf"))
     value = lambda c: F.log(1 + F.lit(n) / (F.col(c) + 1))
     met = df.join(words.select(F.col("w").alias("a"), F.col("wdf").alias("df_a")), "a").join(words.select(F.col("w").alias("b"), F.col("wdf").alias("df_b")), "b")
@@ -345,7 +341,8 @@ def idf_coverage_score(spark, d):
     return post.join(F.broadcast(value.join(total, "query_id")), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("idf") * 0.55) / F.max("total"), 6).alias("score"))
 
 
-@query(_BM25 + ", top AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) WHERE rank <= 10) SELECT q.query_id, q.term, coalesce(df, 0) AS df FROM q LEFT JOIN df USING (term) WHERE NOT EXISTS (SELECT 1 FROM top JOIN post USING (doc_id) WHERE top.query_id = q.query_id AND post.term = q.term)")
+@query(_BM25 + """, top AS MATERIALIZED (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM s) WHERE rank <= 10), met AS MATERIALIZED (SELECT DISTINCT top.query_id, post.term FROM top JOIN post USING (doc_id))
+SELECT q.query_id, q.term, coalesce(df, 0) AS df FROM (SELECT * FROM q ANTI JOIN met USING (query_id, term)) q LEFT JOIN df USING (term)""")
 def unmet_terms(spark, d):
     """RET26: query words that none of the top ten has, with how many documents do."""
     terms = T.query_terms(seekers(spark, d)).select("query_id", "term")

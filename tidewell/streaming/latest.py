@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators.relational import latest_state
+from tidewell.sources.tables import scratch
 
 
 def revisions(spark: SparkSession, path: str, files_per_batch: int = 8) -> DataFrame:
@@ -30,19 +30,19 @@ def upsert_latest(stream: DataFrame, path: str, checkpoint: str, key: str, by: l
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        target = f"{path}/v{number}"
         merged = batch
-        if number and spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - 1}").getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - 1}")):
+        if number:  # a version that is gone is lost state: reading it raises
             merged = spark.read.parquet(f"{path}/v{number - 1}").unionByName(batch)
-        latest_state(merged, key, by).write.mode("overwrite").parquet(target)
+        latest_state(merged, key, by).write.mode("overwrite").parquet(f"{path}/v{number}")
+        if number > 1:  # the version before stays, for a batch that is run again
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - 2}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 
 
 def working_dir(spark: SparkSession) -> str:
-    """The shared folder for tables and checkpoints; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewell-stream-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def replay_latest(spark: SparkSession, path: str, key: str = "user_id", by: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
@@ -57,6 +57,8 @@ def replay_latest(spark: SparkSession, path: str, key: str = "user_id", by: tupl
         done.append(f"{own}/state{number}")
 
     state.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{own}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    if not done:  # nothing ever came
+        return latest_state(spark.read.parquet(path), key, list(by))
     return spark.read.parquet(done[-1])
 
 
