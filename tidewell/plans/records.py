@@ -292,13 +292,14 @@ def gloss_groups(spark, d):
 
 
 _TIERS = {"required": "(must|shall)", "preferred": "(with|also)", "not_required": "(no|not|without)"}
+_ALONE = "(?i)(^|[^\\p{{L}}]){}([^\\p{{L}}]|$)"
 
 
-@query("WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM documents), t AS (".replace("\\\\", "\\") + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS tier FROM s WHERE regexp_matches(s, '(?i)\\b{v}\\b') AND NOT regexp_matches(s, '(?i)\\b(is|it)\\b')" for k, v in _TIERS.items()) + ") SELECT doc_id, tier, count(*) AS n FROM t GROUP BY 1, 2")
+@query("WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))) AS s FROM documents), t AS (".replace("\\\\", "\\") + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS tier FROM s WHERE regexp_matches(s, '{_ALONE.format(v)}') AND NOT regexp_matches(s, '{_ALONE.format('(is|it)')}')" for k, v in _TIERS.items()) + ") SELECT doc_id, tier, count(*) AS n FROM t GROUP BY 1, 2")
 def lexicon_tiers(spark, d):
     """TXT30: sentences by the tier of a pattern table, without those that an exclusion matches. Stand-in words."""
-    s = docs(spark, d).select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s")).where(~F.col("s").rlike("(?i)\\b(is|it)\\b"))
-    tiers = F.array_compact(F.array(*[F.when(F.col("s").rlike(f"(?i)\\b{v}\\b"), k) for k, v in _TIERS.items()]))
+    s = docs(spark, d).select("doc_id", F.explode(X.sentences(F.col("text"))).alias("s")).where(~F.col("s").rlike(_ALONE.format("(is|it)")))
+    tiers = F.array_compact(F.array(*[F.when(F.col("s").rlike(_ALONE.format(v)), k) for k, v in _TIERS.items()]))
     return s.select("doc_id", F.explode(tiers).alias("tier")).groupBy("doc_id", "tier").agg(F.count("*").alias("n"))
 
 

@@ -110,7 +110,7 @@ def identity_proximity(spark, d):
 
 @query("""WITH g AS (SELECT lower(n_name) AS municipal, arg_min(lower(r_name), c_custkey) AS county FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON r_regionkey = (n_regionkey + c_custkey % 2) % 5 GROUP BY 1),
 l AS (SELECT c_custkey, c_acctbal, lower(n_name) AS m, c_custkey % 3 AS k FROM customer JOIN nation ON c_nationkey = n_nationkey), w AS (SELECT county FROM g WHERE municipal = 'nation_3')
-SELECT c_custkey, round(CASE WHEN k = 0 THEN c_acctbal WHEN m = 'nation_3' THEN c_acctbal WHEN county = (SELECT county FROM w) THEN c_acctbal * (0.35 + 0.65 * (0.3 + 0.7 * 0.55)) ELSE c_acctbal * (0.35 + 0.65 * 0.3) END, 4) AS score FROM l JOIN g ON municipal = m""")
+SELECT c_custkey, round(CASE WHEN k = 0 THEN c_acctbal WHEN m = 'nation_3' THEN c_acctbal WHEN county = (SELECT county FROM w) THEN c_acctbal * (0.35 + 0.65 * (0.3 + 0.7 * 0.55)) ELSE c_acctbal * (0.35 + 0.65 * 0.3) END, 8) AS score FROM l JOIN g ON municipal = m""")
 def place_apply(spark, d):
     """RET10, RET12, JOIN14: places learned from rows (the first county wins), applied to scores; a seeker without a place changes nothing."""
     nation, region = table(spark, d, "nation"), table(spark, d, "region")
@@ -120,7 +120,7 @@ def place_apply(spark, d):
     wanted = F.broadcast(known.where("municipal = 'nation_3'").select(F.col("municipal").alias("asked"), F.col("county").alias("asked_county")))
     met = rows.withColumn("municipal", X.place_key(F.col("n_name"))).join(F.broadcast(known), "municipal").join(wanted)
     near = F.when(F.col("municipal") == F.col("asked"), 1.0).when(F.col("county") == F.col("asked_county"), 0.55).otherwise(0.0)
-    return met.select("c_custkey", F.round(T.lift(F.col("c_acctbal"), near, F.col("c_custkey") % 3 != 0), 4).alias("score"))
+    return met.select("c_custkey", F.round(T.lift(F.col("c_acctbal"), near, F.col("c_custkey") % 3 != 0), 8).alias("score"))
 
 
 _QCODE, _DCODE = _CODE.format("query_id * 11"), _CODE.format("doc_id")
