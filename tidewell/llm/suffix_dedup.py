@@ -6,17 +6,20 @@ sorting must decide:
 1. Texts are packed into chunks. Each window of `size` bytes is named by its smallest k-byte
    hash (its anchor); equal windows have equal anchors, wherever they stand. Consecutive windows
    of one anchor form a block. Chunks send the names of their distinct blocks to buckets, a few
-   bytes for some eighty positions, and get back: the anchor is alone (nothing repeats), the
-   block occurs again (all of its windows repeat), or other blocks share its anchor.
-2. Only blocks of the last kind, once a chunk, travel with their bytes to buckets by anchor. A
+   bytes for some eighty positions, and get back whether the anchor is alone: then none of its windows
+   repeats elsewhere. This is a filter only; it decides nothing that repeats.
+2. Blocks whose anchor isn't alone travel, once a chunk, with their bytes to buckets by anchor. A
    bucket sorts their suffixes with the difference-cover algorithm: sampled triples are sorted and
    named, names are sorted recursively, the remaining suffixes are merged in, and adjacent
    suffixes are compared over `size` bytes. The recursion stops where its order covers `size` bytes.
-   Blocks of an anchor with very many different blocks go as single windows, dealt by their own
-   hash, so that no bucket grows with one passage's frequency.
-3. Chunks mark the windows that repeat and cut their union out.
-
-Block and window names that decide equality have 96 bits; the bucket's comparison is on bytes.
+   Where only copies of one block have an anchor, comparing whole blocks does.
+   Of a block that is the same in very many chunks, some chunks are witnesses and send it; the others
+   take part by its name, so that no bucket grows with a passage's frequency. Blocks of an anchor with
+   very many different blocks go as single windows, dealt by their own hash, for the same reason.
+3. Chunks mark the windows that repeat and cut their union out. What a chunk holds twice it compares itself.
+
+Names have 96 bits; they only stand for bytes beyond the witnesses. Where a chunk takes two of its own
+pieces for equal, it compares their bytes, and a collision of names is an error.
 """
 
 from __future__ import annotations
@@ -41,9 +44,11 @@ BUCKET_NAMES = 500_000
 BUCKET_BYTES = 1 << 20
 #: Different blocks of one anchor above which they are dealt as windows.
 HOT = 2000
+#: Chunks that send a block's bytes, of those that have the same block.
+WITNESSES = 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 _POS = np.uint64(0xFFFFFFFF)
-COVERED, COMPARE, MANY = 1, 2, 4
+COVERED, COMPARE, MANY, SOLO = 1, 2, 4, 8
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -90,7 +95,7 @@ class Chunk:
         n, width = len(self.data), self.size - self.anchor + 1
         self.lo = self.hi = self.at = np.zeros(0, np.int64)
         self.unique = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32))
-        self.of = np.zeros(0, np.int64)
+        self.of = self.first = np.zeros(0, np.int64)
         self.many = np.zeros(0, bool)
         if n < self.size:
             return
@@ -137,10 +142,25 @@ class Chunk:
         """(start, name) of one window of each kind among blocks marked MANY."""
         blocks = self.first[(self.codes & (COMPARE | MANY)) == (COMPARE | MANY)]
         starts = _ranges(self.lo[blocks], self.hi[blocks])
-        names = self.hashes[0].of(starts, starts + self.size)
-        names, first = np.unique(names, return_index=True)
+        names, first, of = np.unique(self.hashes[0].of(starts, starts + self.size), return_index=True, return_inverse=True)
+        self.same(starts, starts[first][of], np.full(len(starts), self.size))
         return starts[first], names
 
+    def same(self, one: np.ndarray, two: np.ndarray, sizes: np.ndarray) -> None:
+        """Compare pieces that names take for equal, byte by byte."""
+        apart = np.flatnonzero(one != two)
+        text = self.data.tobytes()
+        for a, b, n in zip(one[apart].tolist(), two[apart].tolist(), sizes[apart].tolist(), strict=True):
+            if text[a : a + n] != text[b : b + n]:
+                raise RuntimeError("two different pieces have one name; change the seeds of Hasher")
+
+    def twice(self) -> np.ndarray:
+        """Which blocks the chunk holds more than once, checked by their bytes."""
+        blocks = np.flatnonzero(self.many[self.of])
+        head = self.first[self.of[blocks]]
+        self.same(self.lo[blocks], self.lo[head], self.hi[blocks] + self.size - self.lo[blocks])
+        return blocks
+
     def sent(self) -> np.ndarray:
         """Distinct blocks that go to a bucket as they are."""
         return np.flatnonzero((self.codes & (COMPARE | MANY)) == COMPARE)
@@ -294,8 +314,12 @@ def _send_names(chunks: DataFrame, n: int, size: int, anchor: int) -> DataFrame:
     return chunks.select("chunk", "sizes", "data").mapInArrow(run, "bucket long, chunk long, names binary")
 
 
-def judge_names(rows: np.ndarray, hot: int) -> np.ndarray:
-    """A code for each (distinct in its chunk) block name of one bucket."""
+def judge_names(rows: np.ndarray, hot: int, witnesses: int = WITNESSES) -> np.ndarray:
+    """A code for each (distinct in its chunk) block name of one bucket; rows come in the order of chunks.
+
+    COMPARE: send the bytes. MANY as well: as single windows. SOLO as well: no other block has the anchor, so that only
+    whole blocks have to be compared. COVERED: enough other chunks send the same block.
+    """
     codes = np.zeros(len(rows), np.uint8)
     if not len(rows):
         return codes
@@ -306,13 +330,14 @@ def judge_names(rows: np.ndarray, hot: int) -> np.ndarray:
     kind = anchor.copy()
     kind[1:] |= (s["b1"][1:] != s["b1"][:-1]) | (s["b2"][1:] != s["b2"][:-1])
     of_kind, heads = np.cumsum(kind) - 1, np.flatnonzero(kind)
-    times = np.bincount(of_kind, weights=1 + s["many"].astype(float))
-    again = times > 1
+    rank = np.arange(len(s)) - heads[of_kind]
     of_anchor = (np.cumsum(anchor) - 1)[heads]
-    kinds = np.bincount(of_anchor)
-    some_single = np.bincount(of_anchor, weights=~again) > 0
-    code = np.where(again, COVERED, 0) | np.where((kinds > 1)[of_anchor] & some_single[of_anchor], COMPARE, 0) | np.where((kinds > hot)[of_anchor], MANY, 0)
-    codes[order] = code[of_kind]
+    kinds = np.bincount(of_anchor)[of_anchor]
+    met = (np.bincount(of_kind) > 1) | (kinds > 1)
+    many = met & (kinds > hot)
+    code = (np.where(met, COMPARE, 0) | np.where(many, MANY, 0) | np.where(met & ~many & (kinds == 1), SOLO, 0))[of_kind]
+    code[(rank >= max(2, witnesses)) & ~many[of_kind]] = COVERED
+    codes[order] = code
     return codes
 
 
@@ -335,27 +360,33 @@ def _exchange(sent: DataFrame, value: str, answer) -> DataFrame:
 _REPLY = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("reply", pa.binary())])
 
 
-def _answer_names(values: list[bytes], hot: int) -> list[bytes]:
+def _answer_names(values: list[bytes], hot: int, witnesses: int) -> list[bytes]:
     rows = [np.frombuffer(v, _NAMES) for v in values]
-    codes = judge_names(np.concatenate(rows), hot)
+    codes = judge_names(np.concatenate(rows), hot, witnesses)
     return [c.tobytes() for c in np.split(codes, np.cumsum([len(r) for r in rows])[:-1])]
 
 
 def _answer_blocks(values: list[bytes], size: int) -> list[bytes]:
     known: dict[bytes, int] = {}
     which: list[int] = []
+    sort: list[bool] = []
     counts = []
     for v in values:
         n, total = np.frombuffer(v[:16], np.int64)
         lengths = np.frombuffer(v[16 : 16 + 4 * n], np.uint32).astype(np.int64)
+        alone = lengths >> 31 > 0
+        lengths &= (1 << 31) - 1
         data = pa.decompress(v[16 + 4 * n :], int(total), "zstd", asbytes=True)
-        for e, k in zip(np.cumsum(lengths).tolist(), lengths.tolist(), strict=True):
-            which.append(known.setdefault(data[e - k : e], len(known)))
+        for e, k, solo in zip(np.cumsum(lengths).tolist(), lengths.tolist(), alone.tolist(), strict=True):
+            which.append(found := known.setdefault(data[e - k : e], len(known)))
+            if found == len(sort):
+                sort.append(not solo)
         counts.append(int((lengths - size + 1).sum()))
     # what several chunks sent alike is sorted once; all of its windows repeat
     strings = list(known)
-    hit = repeated(strings, size)
     windows = np.array([len(x) - size + 1 for x in strings], np.int64)
+    hit = np.zeros(int(windows.sum()), bool)
+    hit[np.repeat(np.array(sort, bool), windows)] = repeated([x for x, s in zip(strings, sort, strict=True) if s], size)
     again = np.bincount(which, minlength=len(strings)) > 1
     hit |= np.repeat(again, windows)
     first = np.cumsum(windows) - windows
@@ -364,9 +395,11 @@ def _answer_blocks(values: list[bytes], size: int) -> list[bytes]:
     return [np.packbits(x).tobytes() for x in np.split(flags, np.cumsum(counts)[:-1])]
 
 
-def _blob(pieces: list[bytes]) -> bytes:
+def _blob(pieces: list[bytes], solo: np.ndarray) -> bytes:
+    """The pieces with their lengths, whose highest bit marks those that need no sorting."""
     data = b"".join(pieces)
-    return np.array([len(pieces), len(data)], np.int64).tobytes() + np.array([len(p) for p in pieces], np.uint32).tobytes() + pa.compress(data, "zstd", asbytes=True)
+    lengths = np.array([len(p) for p in pieces], np.uint32) | (solo.astype(np.uint32) << np.uint32(31))
+    return np.array([len(pieces), len(data)], np.int64).tobytes() + lengths.tobytes() + pa.compress(data, "zstd", asbytes=True)
 
 
 def _with_replies(chunks: DataFrame, *replies: DataFrame) -> DataFrame:
@@ -384,15 +417,17 @@ def _take_codes(own: Chunk, replies) -> None:
         raise RuntimeError("a chunk's names and replies differ")
 
 
-def _layout(own: Chunk, n: int, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(bucket, first, last window) of what a chunk sends in step 2, in the order of sending."""
+def _layout(own: Chunk, n: int, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bucket, first, last window, is it solo) of what a chunk sends in step 2, in the order of sending."""
     sent = own.sent()
     hot, names = own.hot_windows
     bucket = own.buckets(n)[sent]
     hot_bucket = (names >> np.uint64(32)).astype(np.int64) * n >> 32
     for k in np.unique(np.concatenate([bucket, hot_bucket])):
-        blocks, single = own.first[sent[bucket == k]], hot[hot_bucket == k]
-        yield int(k), np.concatenate([own.lo[blocks], single]), np.concatenate([own.hi[blocks], single])
+        kinds, single = sent[bucket == k], hot[hot_bucket == k]
+        blocks = own.first[kinds]
+        solo = np.concatenate([(own.codes[kinds] & SOLO) > 0, np.zeros(len(single), bool)])
+        yield int(k), np.concatenate([own.lo[blocks], single]), np.concatenate([own.hi[blocks], single]), solo
 
 
 def _send_blocks(joined: DataFrame, n: int, size: int, anchor: int) -> DataFrame:
@@ -403,7 +438,7 @@ def _send_blocks(joined: DataFrame, n: int, size: int, anchor: int) -> DataFrame
                 own = _open(sizes, data, size, anchor)
                 _take_codes(own, replies)
                 text = own.data.tobytes()
-                rows = [(k, chunk, _blob([text[a : b + size] for a, b in zip(lo, hi, strict=True)])) for k, lo, hi in _layout(own, n, size)]
+                rows = [(k, chunk, _blob([text[a : b + size] for a, b in zip(lo, hi, strict=True)], solo)) for k, lo, hi, solo in _layout(own, n, size)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "chunk", "blocks"])
 
@@ -420,8 +455,10 @@ def _marked(own: Chunk, replies, n: int, size: int) -> np.ndarray:
 
     whole = (own.codes & COVERED)[own.of] > 0
     cover(own.lo[whole], own.hi[whole])
+    twice = own.twice()
+    cover(own.lo[twice], own.hi[twice])
     given = {r["bucket"]: r["reply"] for r in replies or []}
-    for k, lo, hi in _layout(own, n, size):
+    for k, lo, hi, _ in _layout(own, n, size):
         starts = _ranges(lo, hi)
         hit = starts[np.unpackbits(np.frombuffer(given[k], np.uint8), count=len(starts)) > 0]
         cover(hit, hit)
@@ -431,7 +468,7 @@ def _marked(own: Chunk, replies, n: int, size: int) -> np.ndarray:
         flagged = np.zeros(len(hot), bool)
         at = {int(s): i for i, s in enumerate(hot)}
         hot_bucket = (names >> np.uint64(32)).astype(np.int64) * n >> 32
-        for k, lo, hi in _layout(own, n, size):
+        for k, lo, hi, _ in _layout(own, n, size):
             single = hot[hot_bucket == k]
             bits = np.unpackbits(np.frombuffer(given[k], np.uint8), count=int((hi - lo + 1).sum())) > 0
             flagged[[at[int(s)] for s in single]] = bits[len(bits) - len(single) :]
@@ -445,14 +482,14 @@ def _marked(own: Chunk, replies, n: int, size: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def strip_repeats(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
+def strip_repeats(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, chunk: int = CHUNK, hot: int = HOT, witnesses: int = WITNESSES, characters: bool = False) -> DataFrame:
     """docs with `kept` (binary, in place of text), n_bytes, n_removed, spans (array of start, end: the removed runs).
 
     Each byte covered by a `size`-byte string that also starts anywhere else, in this or another
     row, is removed; matches never cross rows, and overlapping occurrences count. Null texts
     count as empty: nothing to remove. Repeated rows remove each other if they are long enough. Other
     columns pass through untouched; those named like the new ones are replaced. An empty table
-    gives an empty result.
+    gives an empty result. With `characters`, `kept` also lacks what cuts leave of broken characters.
     """
     new = ["kept", "n_bytes", "n_removed", "spans"]
     docs = docs.drop(*[c for c in docs.columns if c in new])
@@ -460,9 +497,9 @@ def strip_repeats(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, chunk
     chunks = stash(_pack(docs, chunk))
     total = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0
     n_names = max(64, -(-total * 2 // (size - anchor) // BUCKET_NAMES))
-    codes = cut(_exchange(_send_names(chunks, n_names, size, anchor), "names", lambda v: _answer_names(v, hot)))
+    codes = cut(_exchange(_send_names(chunks, n_names, size, anchor), "names", lambda v: _answer_names(v, hot, witnesses)))
     release(spark)
-    n_blocks = max(96, -(-total // 2 // BUCKET_BYTES))
+    n_blocks = max(96, -(-total * 2 // 3 // BUCKET_BYTES))
     hits = cut(_exchange(_send_blocks(_with_replies(chunks, codes), n_blocks, size, anchor), "blocks", lambda v: _answer_blocks(v, size)))
     release(spark)
     others = [f for f in docs.schema.fields if f.name != "text"]
@@ -484,10 +521,12 @@ def strip_repeats(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, chunk
                         removed.append(0)
                         spans.append([])
                         continue
-                    kept.append(own.data[a:b][~m].tobytes())
                     removed.append(int(m.sum()))
                     turn = np.flatnonzero(np.diff(np.concatenate([[0], m.view(np.int8), [0]])))
                     spans.append([{"start": int(x), "end": int(y)} for x, y in zip(turn[::2], turn[1::2], strict=True)])
+                    text, edges = own.data[a:b].tobytes(), [0, *turn.tolist(), len(m)]
+                    pieces = [text[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)]
+                    kept.append(b"".join(p.decode("utf-8", "ignore").encode() if characters else p for p in pieces))
                 rest = rests[row].values
                 parts = [pa.array(kept, pa.binary()), pa.array(own.sizes), pa.array(removed, pa.int64()), pa.array(spans, _SPANS)]
                 yield pa.RecordBatch.from_arrays([*(rest.field(k) for k in range(len(others))), *parts], [*(f.name for f in others), *new])
@@ -505,13 +544,15 @@ def digest(docs: DataFrame, **options) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:
-    """docs with the repeated bytes cut out of text (what a cut leaves of a character goes too) and n_chars brought up to date."""
-    cleaned = strip_repeats(docs, **options)
-    text = F.when(F.size("spans") == 0, F.col("kept").cast("string")).otherwise(_whole(F.col("kept")))
-    own = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return cleaned.withColumns(own).select(*docs.columns)
-
+    """docs with the repeated bytes cut out of text (what a cut leaves of a character goes too) and n_chars brought up to date.
 
-def _whole(column):
-    """Valid text from bytes that may hold broken characters."""
-    return F.regexp_replace(F.try_validate_utf8(column.cast("string")), "�", "") if False else F.regexp_replace(F.make_valid_utf8(column.cast("string")), "�", "")
+    Every row stays, with null texts null and its other columns as they are. Repeated rows, if long enough, remove
+    each other's text; empty texts stay empty, and an empty table gives an empty result.
+    """
+    given = next(f"given{k}" for k in range(len(docs.columns) + 1) if f"given{k}" not in docs.columns)
+    clash = [c for c in docs.columns if c in ("kept", "n_bytes", "n_removed", "spans")]
+    held = docs.select(*[c for c in docs.columns if c not in clash], F.struct(F.col("text").isNotNull().alias("given"), *[F.col(c) for c in clash]).alias(given))
+    cleaned = strip_repeats(held, characters=True, **options)
+    text = F.when(F.col(given)["given"], F.col("kept").cast("string"))
+    own = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}) | {c: F.col(given)[c] for c in clash}
+    return cleaned.select(*[own[c].alias(c) if c in own else F.col(c) for c in docs.columns])
