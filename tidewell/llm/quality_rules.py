@@ -36,7 +36,8 @@ def clean(docs: DataFrame, most_marks: float = 0.2, most_lost: float = 0.3, shor
     """
     text, words, h, s, pos = (F.col(c) for c in ("_text", "_words", "_h", "_s", "_pos"))
     space = "[\\x20\\x09-\\x0D]+"
-    out = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
+    # a row's own columns stay in one struct, whatever their names
+    out = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     out = out.withColumn("_trim", F.btrim(text, F.lit(SPACES)))
     out = out.withColumns(
         {
@@ -75,7 +76,8 @@ def clean(docs: DataFrame, most_marks: float = 0.2, most_lost: float = 0.3, shor
     bad = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     left = F.length(F.translate("kept_text", SPACES, ""))
     out = out.withColumn("base_failed", bad).withColumn("kept", ~bad & (left > 0) & (F.col("word_chars") - left <= most_lost * F.col("word_chars")))
-    return out.drop(*[c for c in out.columns if c.startswith("_") and c not in docs.columns])
+    new = [c for c in out.columns if not c.startswith("_")]
+    return out.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns if c not in new], *new)
 
 
 def line_fails(bare, most_marks: float, shortest_menu: int):
