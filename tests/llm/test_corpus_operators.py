@@ -223,6 +223,8 @@ def test_quality(docs, none, spark):
     assert not out[out.base_failed].kept.any()
     lines = quality_rules.clean(spark.createDataFrame([(1, "Home | About | Contact\nIt is a proper line.\nno end\nAll rights reserved.\n$$$ !!! ###.", "clash")], "doc_id long, text string, n_words string"))
     assert lines.first()["kept_text"] == "It is a proper line."
+    clash = quality_rules.clean(spark.createDataFrame([(1, "It is a line.", 7, "p", None)], "doc_id long, text string, _pos int, _text string, _row string")).first()
+    assert (clash["_pos"], clash["_text"], clash["_row"], clash["text"]) == (7, "p", None, "It is a line.")
     assert quality_rules.clean(none).count() == 0
 
 
@@ -419,10 +421,39 @@ def test_mixing_reaches_targets_above_a_floor(spark, found):
     assert {r["r"] for r in alike.select(rate.alias("r")).collect()} == {1.0}
 
 
+def test_mixing_posteriors_and_rates_are_recomputed(spark):
+    rng = random.Random(5)
+    vocab = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(rng.choice(vocab[20 * (i % 3) :]) for _ in range(rng.randint(0, 30)))) for i in range(90)]
+    marks = [(i, int(i % 3 == 0), int(i % 3 == 2)) for i in range(0, 90, 2)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    bucket = {r["w"]: r["b"] for r in spark.createDataFrame([(w,) for w in vocab], "w string").select("w", F.pmod(F.xxhash64("w"), F.lit(mixing.BUCKETS)).alias("b")).collect()}
+    names = {i: "toxic" if t else "good" if q else "rough" for i, q, t in marks}
+    count = {d: collections.Counter(bucket[w] for i, t in rows if names.get(i) == d for w in set(t.split())) for d in mixing.DOMAINS}
+    prior = {d: sum(n == d for n in names.values()) + 1 for d in mixing.DOMAINS}
+    out = mixing.rates(docs, labels).toPandas().set_index("doc_id")
+    for i, t in rows:
+        known = [b for b in {w: bucket[w] for w in set(t.split())}.values() if any(count[d][b] for d in mixing.DOMAINS)]
+        raw = []
+        for d in mixing.DOMAINS:
+            total = sum(count[d].values()) + 0.5 * mixing.BUCKETS
+            mean = sum(math.log((count[d][b] + 0.5) / total) for b in known) / len(known) if known else 0.0
+            raw.append(mixing.STRENGTH * mean + math.log(prior[d] / sum(prior.values())))
+        want = np.exp(np.array(raw) - max(raw))
+        assert np.allclose(out.loc[i, [f"p_{d}" for d in mixing.DOMAINS]].to_numpy(float), want / want.sum(), atol=1e-9)
+    p, n = out[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy(), out.n_tokens.to_numpy(float)
+    slope = np.linalg.lstsq(np.column_stack([p, np.ones(len(p))]), out.rate.to_numpy(), rcond=None)[0]
+    free = out.rate.to_numpy() > 0
+    assert free.mean() > 0.5 and np.isfinite(slope).all()
+    assert np.allclose((p * (n * out.rate.to_numpy())[:, None]).sum(axis=0) / n.sum(), [mixing.TARGETS[d] for d in mixing.DOMAINS], atol=2e-3)
+    frac = out.rate - np.floor(out.rate)
+    assert ((out.copies == np.floor(out.rate)) | (out.copies == np.floor(out.rate) + 1)).all() and (out.copies[frac == 0] == out.rate[frac == 0]).all()
+
+
 # --- 9 ---
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk": 3000, "hot": 1}, {"chunk": 3000, "hot": 0}])
+@pytest.mark.parametrize("options", [{}, {"chunk": 3000, "hot": 1}, {"chunk": 3000, "hot": 0}, {"chunk": 700, "witnesses": 2}])
 def test_repeats(docs, none, options):
     rows = [(r[0], (r[1] or "").encode()) for r in corpus()]
     seen = collections.Counter(b[k : k + 200] for _, b in rows for k in range(len(b) - 199))
@@ -440,6 +471,15 @@ def test_repeats(docs, none, options):
     if not options:
         assert suffix_dedup.digest(none).count() == 0
         assert suffix_dedup.without_repeats(docs).columns == docs.columns
+        assert suffix_dedup.without_repeats(none).count() == 0
+
+
+def test_cuts_leave_whole_characters(spark):
+    passage = "".join(chr(0x4E00 + k * 7 % 5000) for k in range(80))  # 240 bytes, cut anywhere within a character
+    rows = [(1, "é\ufffd" + passage + "ö end \ufffd", "a", 5), (2, "x" + chr(0x4F00) + passage[1:] + "\ufffd", "b", 6), (3, None, "c", 7), (4, "", "d", 8)]
+    out = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string, kept string, spans int"))
+    got = {r["doc_id"]: (r["text"], r["kept"], r["spans"]) for r in out.collect()}
+    assert got == {1: ("é\ufffd" + "ö end \ufffd", "a", 5), 2: ("x\ufffd", "b", 6), 3: (None, "c", 7), 4: ("", "d", 8)}
 
 
 def test_suffix_order_and_repeats():
@@ -480,6 +520,37 @@ def test_toxicity(spark):
     assert (toxicity.classify(docs, marks.limit(0)).toPandas().score == 0).all()
 
 
+def test_toxicity_network_is_recomputed():
+    rng = random.Random(1)
+    texts = [" ".join(rng.choice(["tree", "lakeside", "road", "Scum", "idiotic", "x"]) for _ in range(rng.randint(0, 9))).encode() for _ in range(80)]
+    rows = [(i, t, int(b"Scum" in t or b"idiotic" in t), "en") for i, t in enumerate(texts)]
+    model = toxicity.Model(rows)
+    net = model.net
+    p, _ = model.raw(texts)
+    for text, got in zip(texts, p, strict=True):
+        words = text.decode().lower().split() or [None]
+        own = []
+        for w in words:
+            rows_ = [] if w is None else [zlib.crc32(w.encode()) % toxicity.BUCKETS] + [zlib.crc32(b"%d " % k + w[:k].encode()) % toxicity.BUCKETS for k in toxicity.PREFIXES if len(w) > k]
+            own.append(net.emb[rows_].astype(float).sum(axis=0) if rows_ else np.zeros(toxicity.SIZE))
+        n = len(own)
+        own += [np.zeros(toxicity.SIZE)] * 4
+        block, top = 0, []
+        for width in toxicity.WIDTHS:
+            cols = [net.w[:, (block + k) * toxicity.FILTERS : (block + k + 1) * toxicity.FILTERS] for k in range(width)]
+            top.append(np.max([sum(own[i + k] @ cols[k] for k in range(width)) for i in range(n)], axis=0))
+            block += width
+        z = np.maximum(np.concatenate(top) + net.b, 0) @ net.v + net.c[0]
+        assert got == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-4)
+    hist = np.zeros((1, 2, 2 * toxicity.FAR * toxicity.FINE), int)
+    for bin_, label, n in ((100, 0, 50), (200, 1, 30), (180, 0, 3), (150, 1, 2)):
+        hist[0, label, bin_] = n
+    model.calibrate(hist, 1.0)
+    edge = lambda b: 1 / (1 + math.exp(toxicity.FAR - b / toxicity.FINE))
+    # of the cuts below 200, 180 (30 hits, 3 false), 150 and 100, the first has F1 60 / 62, and 150 has 64 / 67
+    assert model.threshold[0] == pytest.approx((edge(200) + edge(181)) / 2)
+
+
 def test_toxicity_calibrates_on_all_labels(spark, monkeypatch):
     rng = random.Random(0)
     rows = [(i, " ".join([rng.choice(["tree", "lake", "road"]) for _ in range(9)] + ["scum"] * (i % 2)), "en", i % 2) for i in range(1200)]
