@@ -169,3 +169,61 @@ def test_extraction_is_injected(spark):
     frame = spark.createDataFrame([(1, "x"), (2, "yy")], "id long, text string")
     out = extract(frame, "id long, n long", lambda b: pd.DataFrame({"id": b["id"], "n": b["text"].str.len()}))
     assert {(r["id"], r["n"]) for r in out.collect()} == {(1, 1), (2, 2)}
+
+
+TEXT = "About us.\nYou must speak norsk very well here. We like people.\nGood English is a plus."
+SPAN = {"span": "You must speak norsk very well here.", "section_language": "en"}
+
+
+def good(**given):
+    from tidewell.operators import facets as C
+
+    return C.defaults(evidence_spans=[SPAN], evidence_basis="explicit_statement", evidence_strength="explicit_and_unambiguous", norwegian_requirement_level="fluent", **given)
+
+
+@pytest.mark.parametrize(
+    "given, reasons, changed",
+    [
+        ({}, [], {}),
+        ({"application_language": ["both"]}, ["shape:application_language:expected_string_got_list", "enum:application_language=['both']", "demoted:invalid_shape", "demoted:invalid_enum_value"], {"application_language": "unstated"}),
+        ({"application_language": "both"}, ["enum:application_language='both'", "demoted:invalid_enum_value"], {"application_language": "unstated"}),
+        ({"min_years_experience": 400}, ["shape:min_years_experience:out_of_range_400", "demoted:invalid_shape"], {"min_years_experience": None}),
+        ({"min_years_experience": True}, ["shape:min_years_experience:expected_['integer', 'null']_got_bool", "demoted:invalid_shape"], {"min_years_experience": None}),
+        ({"skills": [{"phrase": "x", "level": "required"}] * 9}, ["shape:skills:maxItems_8_got_9", "demoted:invalid_shape"], {"skills": [{"phrase": "x", "level": "required"}] * 8}),
+        ({"skills": ["x", {"phrase": "y", "level": "preferred"}]}, ["shape:skills[0]:expected_object_got_str", "demoted:invalid_shape"], {"skills": [{"phrase": "y", "level": "preferred"}]}),
+        ({"skills": [{"phrase": "x", "level": "vital"}]}, ["enum:skills.level='vital'", "demoted:invalid_enum_value"], {}),
+        ({"implicit_evidence": ["nothing"]}, ["enum:implicit_evidence='nothing'", "demoted:invalid_enum_value"], {}),
+        ({"seniority": "senior", "min_years_experience": 0}, ["senior_with_zero_years"], {}),
+        ({"truncated": True, "evidence_basis": "no_mention"}, ["no_mention_with_span", "verdict_without_evidence", "flag:no_mention_on_truncated_ad"], {}),
+        ({"evidence_spans": ["bare"]}, ["shape:evidence_spans[0]:expected_object_got_str", "demoted:verdict_lost_its_evidence", "demoted:invalid_shape"], {"evidence_spans": [], "norwegian_requirement_level": "unstated", "evidence_basis": "no_mention", "evidence_strength": "none"}),
+        ({"evidence_spans": [{"span": "Good English is"}, SPAN]}, ["span:ends_mid_sentence"], {"evidence_spans": [SPAN]}),
+        ({"evidence_spans": [{"span": "We like people."}]}, ["span:no_language_token", "demoted:verdict_lost_its_evidence"], {"evidence_spans": [], "norwegian_requirement_level": "unstated", "evidence_basis": "no_mention", "evidence_strength": "none"}),
+    ],
+)
+def test_whole_records(given, reasons, changed):
+    from tidewell.operators import facets as C
+
+    record = good() | given
+    kept, found = C.judge(record, TEXT)
+    assert found == reasons and kept == record | changed
+    assert record == good() | given  # never changed in place
+
+
+def test_silent_records_are_coherent_and_mended_ones_are_whole():
+    from tidewell.operators import facets as C
+
+    assert C.judge(C.defaults(), TEXT) == (C.defaults(), [])
+    missing = C.judge({}, TEXT)[1]
+    assert missing[-1] == "demoted:invalid_enum_value" and "enum:seniority=None" in missing
+    for junk in (3, "x", None, [[1]], {"a": 1}, 1.5):
+        kept, _ = C.judge({name: junk for name in C.RECORD}, TEXT)
+        assert not [f for f in C.shape_faults(kept)] and not [f for f in C.word_faults(kept) if f.how]
+
+
+def test_records_as_json(spark):
+    from pyspark.sql import functions as F
+    from tidewell.operators import facets as C
+
+    rows = [(json.dumps(good()), TEXT), ("not json", TEXT), (None, TEXT), ("[1]", None), (json.dumps(good()), None)]
+    out = [r["j"] for r in spark.createDataFrame(rows, "raw string, text string").select(C.judged(F.col("raw"), F.col("text")).alias("j")).collect()]
+    assert [r["demoted"] for r in out] == [False, None, None, None, True]

@@ -13,9 +13,6 @@ from pyspark.sql import types as T
 
 from tidewell.functions import text as X
 
-FACETS = """evidence_spans ARRAY<STRUCT<span: STRING, section_language: STRING>>, evidence_basis STRING, evidence_strength STRING, norwegian_requirement_level STRING, stated_working_language STRING,
-application_language STRING, conflicting_statements BOOLEAN, implicit_evidence ARRAY<STRING>, authorisation_required STRING, security_clearance_required BOOLEAN, visa_sponsorship STRING,
-relocation_support STRING, seniority STRING, min_years_experience INT, skills ARRAY<STRUCT<phrase: STRING, level: STRING>>"""
 #: The level field's vocabulary, and the levels that open or close an item to other speakers.
 LEVELS = ["certified", "fluent", "professional", "conversational", "desirable", "scandinavian_accepted", "either_norwegian_or_english", "explicitly_not_required", "unstated"]
 WORKING = ["norwegian", "english", "both", "scandinavian", "unstated"]

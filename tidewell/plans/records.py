@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as X
+from tidewell.operators import facets as C
 from tidewell.operators import quality as Q
 from tidewell.operators import records as K
 from tidewell.operators.relational import value_shares
@@ -415,3 +416,17 @@ def label_ingest(spark, d):
     rows = picked(own, confirmed=_CONF, level=_LAB, working=_WORK).select(F.col("doc_id").alias("n"), F.col("doc_id").alias("uuid"), "confirmed", "level", "working", none.alias("span"), none.alias("auth"), F.col("lang").alias("doc_lang"))
     accepted, refused = K.ingest_labels(rows, own.where("doc_id % 9 <> 0").select(F.col("doc_id").alias("uuid"), "text"))
     return accepted.select("uuid", F.col("n").cast("long").alias("n"), F.lit(None).cast("string").alias("reason"), "derived_accessible").unionByName(refused.select("uuid", F.lit(None).cast("long").alias("n"), "reason", F.lit(None).cast("boolean").alias("derived_accessible")))
+
+
+@query()
+def facet_records(spark, d):
+    """DQ4, DQ5, DQ6, UDF4: whole records as JSON, every field checked and mended; a record may have any type anywhere. Tested on cases."""
+    told = F.concat(F.lit("Norsk "), F.substring("text", 1, 60))
+    span = F.struct(told.alias("span"), F.when(F.col("doc_id") % 5 == 0, "nb").otherwise("no").alias("section_language"))
+    record = F.struct(
+        F.array_repeat(span, (F.col("doc_id") % 6).cast("int")).alias("evidence_spans"), F.when(F.col("doc_id") % 2 == 0, "explicit_statement").otherwise("no_mention").alias("evidence_basis"),
+        F.lit("explicit_but_hedged").alias("evidence_strength"), F.when(F.col("doc_id") % 7 == 0, "both").otherwise("fluent").alias("norwegian_requirement_level"), F.lit("norwegian").alias("stated_working_language"),
+        F.lit("unstated").alias("application_language"), F.lit("offered").alias("visa_sponsorship"), F.lit("unstated").alias("relocation_support"), F.lit("senior").alias("seniority"), (F.col("doc_id") % 70).alias("min_years_experience"),
+    )
+    body = F.concat(told, F.lit(".\n"), F.coalesce("text", F.lit("")))
+    return docs(spark, d).select("doc_id", C.judged(F.to_json(record), body).alias("j")).select("doc_id", "j.record", "j.reasons", "j.demoted")
