@@ -22,8 +22,8 @@ SEVERITY = {"certified": 1.0, "professional": 1.0, "fluent": 1.0, "conversationa
 BLOCKING = ["certified", "fluent", "professional", "conversational"]
 SILENT_LOCAL, SILENT_OTHER = 0.5, 0.1
 SPEAKER = {"none": 1.0, "basic": 0.8, "conversational": 0.6, "fluent": 0.0, "native": 0.0}
-#: Different query terms that are listed in a filter; more are joined.
-LISTED = 20_000
+#: Terms of all queries that are collected and broadcast; more are joined.
+LISTED = 100_000
 PREFIX_WEIGHTS = (0.0, 0.15, 0.40, 0.70, 1.00)
 
 
@@ -69,16 +69,19 @@ def query_terms(queries: DataFrame, ngrams: bool = False) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, ngrams: bool = False, title: str | None = None) -> DataFrame:
     """(query_id, doc_id, score) of all pairs that share a term; any other pair's score is exactly 0.
 
-    Without n-grams and titles the texts are read once: each row keeps its length and those of its
-    words that queries have; sizes, document frequencies and scores come from what is kept.
+    Without n-grams and titles the texts are read once: each document keeps its length and the counts of
+    those words that queries have; sizes, document frequencies and scores come from what is kept.
     """
     terms = query_terms(queries, ngrams)
-    asked = terms.select("term").distinct().limit(LISTED + 1)
-    listed = [] if ngrams or title else [r["term"] for r in asked.collect()]
-    if listed and len(listed) <= LISTED:
+    asked = terms.limit(LISTED + 1).collect()
+    small = len(asked) <= LISTED
+    if small:  # collected once: no later stage reads the queries again
+        terms = docs.sparkSession.createDataFrame(asked, terms.schema)
+    if not (ngrams or title):
+        wanted = terms.select("term").distinct()
         # one row for each word at first, then one for each document and wanted term, and one for all its other words
         word = docs.select("doc_id", F.explode_outer(X.words(F.col("text"))).alias("w"))
-        counted = word.groupBy("doc_id", F.when(F.col("w").isin(listed), F.col("w")).alias("term")).agg(F.count(F.when(~F.col("w").isin(X.STOPWORDS), 1)).alias("tf"))
+        counted = word.join(F.broadcast(wanted) if small else wanted, F.col("w") == F.col("term"), "left").groupBy("doc_id", "term").agg(F.count(F.when(~F.col("w").isin(X.STOPWORDS), 1)).alias("tf"))
         kept = counted.withColumn("doc_len", F.sum("tf").over(Window.partitionBy("doc_id"))).persist()
         size = kept.groupBy("doc_id").agg(F.max("doc_len").alias("doc_len")).agg(F.count("*").alias("n"), F.avg("doc_len").alias("mean")).first()
         found = kept.where("term is not null")
@@ -89,14 +92,14 @@ def bm25(docs: DataFrame, queries: DataFrame, ngrams: bool = False, title: str |
         size = lengths.agg(F.count("*").alias("n"), F.avg("doc_len").alias("mean")).first()
         stats = found.groupBy("term").agg(F.count("*").alias("df"))  # (document, term) is unique
         found = found.join(lengths, "doc_id")
-    return bm25_scores(found, terms, stats, size["n"], size["mean"])
+    return bm25_scores(found, terms, stats, size["n"], size["mean"], small)
 
 
-def bm25_scores(found: DataFrame, terms: DataFrame, stats: DataFrame, n: int, mean: float | None) -> DataFrame:
-    """Scores from postings (doc_id, doc_len, term, tf), query terms and document frequencies (term, df)."""
-    weighted = terms.join(stats, "term").select("query_id", "term", (F.col("weight") * idf(F.col("df"), n)).alias("w"))
+def bm25_scores(found: DataFrame, terms: DataFrame, stats: DataFrame, n: int, mean: float | None, small: bool) -> DataFrame:
+    """Scores from postings (doc_id, doc_len, term, tf), query terms and document frequencies (term, df). small: LISTED terms at most."""
+    weighted = stats.join(terms, "term").select("query_id", "term", (F.col("weight") * idf(F.col("df"), n)).alias("w"))
     norm = K1 * (1 - B + B * F.col("doc_len") / F.lit(mean))
-    hits = found.join(weighted, "term")
+    hits = found.join(F.broadcast(weighted) if small else weighted, "term")
     return hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("score"))
 
 
@@ -121,13 +124,16 @@ def build_index(docs: DataFrame, path: str, buckets: int = 64) -> str:
 def search_index(spark, path: str, queries: DataFrame, buckets: int = 64) -> DataFrame:
     """bm25() of a stored index: only folders and row groups that can hold a query's terms are read."""
     terms = query_terms(queries)
-    listed = [r["term"] for r in terms.select("term").distinct().limit(LISTED + 1).collect()]
+    asked = terms.limit(LISTED + 1).collect()
+    small = len(asked) <= LISTED
     posting, known = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms")
-    if len(listed) <= LISTED:
+    if small:
+        terms = spark.createDataFrame(asked, terms.schema)
         folders = [r[0] for r in terms.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).distinct().collect()]
-        posting, known = posting.where(F.col("bucket").isin(folders) & F.col("term").isin(listed)), known.where(F.col("term").isin(listed))
+        posting = posting.where(F.col("bucket").isin(folders))
+        known = known.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
     size = spark.read.parquet(f"{path}/size").first()
-    return bm25_scores(posting.select("doc_id", "doc_len", "term", "tf"), terms, known, size["n"], size["mean"])
+    return bm25_scores(posting.select("doc_id", "doc_len", "term", "tf"), terms, known, size["n"], size["mean"], small)
 
 
 def ranked(scores: DataFrame, k: int = 10, by: list[str] | None = None) -> DataFrame:
