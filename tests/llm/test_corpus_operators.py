@@ -201,6 +201,9 @@ def test_cutting_stock_is_near_the_bound():
     assert all((c * np.arange(1, 65)).sum() <= 64 for _, c in plan)
     assert sum(t for t, _ in plan) <= 1.01 * (demand * np.arange(1, 65)).sum() / 64 + 2
     assert packing.solve(np.zeros(64, int), 64) == []
+    with pytest.warns(UserWarning, match="still improving"):
+        plan = packing.solve(demand, 64, rounds=2)
+    assert (sum(t * c for t, c in plan) == demand).all()
 
 
 # --- 4 ---

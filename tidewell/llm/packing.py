@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import gc
 import re
+import warnings
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -198,6 +199,8 @@ def solve(demand: np.ndarray, capacity: int, rounds: int = 3000, tolerance: floa
         if turn % 200 == 199:  # rounding errors add up
             inverse = np.linalg.inv(patterns)
         amount = np.maximum(inverse @ need, 0)
+    else:
+        warnings.warn(f"packing: patterns were still improving after {rounds} rounds", stacklevel=2)
     left = demand.astype(np.int64).copy()
     plan: list[tuple[int, np.ndarray]] = []
     for k in np.argsort(-amount, kind="stable"):
