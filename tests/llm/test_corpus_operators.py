@@ -407,6 +407,14 @@ def test_mixing(spark, docs, none):
     assert mixing.rates(docs, labels.limit(0)).count() == len(out)
 
 
+def test_mixing_keeps_columns_of_any_name(spark, docs):
+    labels = docs.select("doc_id", F.lit(0).alias("toxic"), F.pmod("doc_id", F.lit(2)).cast("int").alias("quality"))
+    wide = docs.select("*", *[F.lit(n).alias(n) for n in ("id", "copies", "row", "col", "_id", "_copies", "_k")])
+    out = mixing.mix(wide, labels, lowest=1.0)
+    assert out.columns == wide.columns
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in wide.collect()}
+
+
 @pytest.mark.parametrize("found", [(0.57, 0.3, 0.13), (0.47, 0.14, 0.39)])
 def test_mixing_reaches_targets_above_a_floor(spark, found):
     rng = np.random.default_rng(0)

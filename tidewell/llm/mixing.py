@@ -147,7 +147,8 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
 
 
 def mix(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Each row of docs as often as its document's copies say."""
-    found = rates(docs, labels, **options).select(F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"))
-    joined = docs.join(redeal(found, "_id"), docs["doc_id"].eqNullSafe(found["_id"])).where("_copies > 0")
-    return joined.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    """Each row of docs as often as its document's copies say; columns of any name pass through as they are."""
+    found = redeal(rates(docs, labels, **options).select(F.col("doc_id").alias("id"), "copies"), "id")
+    whole = docs.select("doc_id", F.struct("*").alias("row"))
+    joined = whole.join(found, whole["doc_id"].eqNullSafe(found["id"])).where("copies > 0")
+    return joined.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
