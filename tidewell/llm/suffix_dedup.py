@@ -18,8 +18,8 @@ sorting must decide:
    very many different blocks go as single windows, dealt by their own hash, for the same reason.
 3. Chunks mark the windows that repeat and cut their union out. What a chunk holds twice it compares itself.
 
-Names have 96 bits; they only stand for bytes beyond the witnesses. Where a chunk takes two of its own
-pieces for equal, it compares their bytes, and a collision of names is an error.
+Names are 96 bits of XXH3 of a block's bytes; they only stand for bytes beyond the witnesses. Where a chunk takes two of its own pieces for equal, it compares their bytes,
+and a collision of names is an error.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +47,8 @@ BUCKET_BYTES = 1 << 20
 HOT = 2000
 #: Chunks that send a block's bytes, of those that have the same block.
 WITNESSES = 64
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_NAME = np.dtype([("b1", "<u8"), ("b2", "<u4"), ("rest", "<u4")])
 _POS = np.uint64(0xFFFFFFFF)
 COVERED, COMPARE, MANY, SOLO = 1, 2, 4, 8
 
@@ -67,12 +69,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Hasher:
     """Polynomial hashes, modulo 2^64 over random byte values, of any pieces of one buffer."""
 
-    def __init__(self, data: np.ndarray, which: int):
-        base = _ODD[which]
-        values = np.random.default_rng(100 + which).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    def __init__(self, data: np.ndarray):
+        values = np.random.default_rng(100).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * _powers(base, len(data)), out=self.sums[1:])
-        self.back = _powers(np.uint64(pow(int(base), -1, 1 << 64)), len(data) + 1)
+        np.cumsum(values[data] * _powers(_ODD, len(data)), out=self.sums[1:])
+        self.back = _powers(np.uint64(pow(int(_ODD), -1, 1 << 64)), len(data) + 1)
 
     def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         return mix((self.sums[last] - self.sums[first]) * self.back[first])
@@ -87,7 +88,7 @@ class Chunk:
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
         self.sizes = sizes
-        self.hashes = [Hasher(self.data, 0), Hasher(self.data, 1)]
+        self.hasher = Hasher(self.data)
         self._blocks()
 
     def _blocks(self) -> None:
@@ -100,7 +101,7 @@ class Chunk:
         if n < self.size:
             return
         p = np.arange(n - self.anchor + 1, dtype=np.int64)
-        short = self.hashes[0].of(p, p + self.anchor)
+        short = self.hasher.of(p, p + self.anchor)
         keys = (short & ~_POS) | p.astype(np.uint64)
         padded = np.full(-(-len(keys) // width) * width + width, np.iinfo(np.uint64).max, np.uint64)
         padded[: len(keys)] = keys
@@ -118,9 +119,7 @@ class Chunk:
         new[1:] = (own[1:] != own[:-1]) | (fits[1:] != fits[:-1] + 1)
         first = np.flatnonzero(new)
         self.lo, self.hi, self.at = fits[first], fits[np.append(first[1:], len(fits)) - 1], own[first]
-        place = mix((self.at - self.lo).astype(np.uint64) * np.uint64(1 << 20) + (self.hi - self.lo).astype(np.uint64))
-        b1 = self.hashes[0].of(self.lo, self.hi + self.size) ^ place
-        b2 = (self.hashes[1].of(self.lo, self.hi + self.size) >> np.uint64(32)).astype(np.uint32)
+        b1, b2 = self._names()
         a = mix(short[self.at])  # anchors are minima: mixed again, they spread over all buckets
         order = np.lexsort((b2, b1, a))
         a, b1, b2 = a[order], b1[order], b2[order]
@@ -133,6 +132,12 @@ class Chunk:
         self.first = order[heads]  # one block of each kind
         self.many = np.diff(np.append(heads, len(a))) > 1
 
+    def _names(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each block's name, in two parts; it follows from the bytes alone, as the anchor's place does."""
+        text, of = self.data.tobytes(), xxhash.xxh3_128_digest
+        names = np.frombuffer(b"".join([of(text[a:b]) for a, b in zip(self.lo.tolist(), (self.hi + self.size).tolist(), strict=True)]), _NAME)
+        return names["b1"].copy(), names["b2"].copy()
+
     def buckets(self, n: int) -> np.ndarray:
         """The bucket of each distinct block, by anchor; ascending, as anchors are."""
         return (self.unique[0] >> np.uint64(32)).astype(np.int64) * n >> 32
@@ -142,7 +147,7 @@ class Chunk:
         """(start, name) of one window of each kind among blocks marked MANY."""
         blocks = self.first[(self.codes & (COMPARE | MANY)) == (COMPARE | MANY)]
         starts = _ranges(self.lo[blocks], self.hi[blocks])
-        names, first, of = np.unique(self.hashes[0].of(starts, starts + self.size), return_index=True, return_inverse=True)
+        names, first, of = np.unique(self.hasher.of(starts, starts + self.size), return_index=True, return_inverse=True)
         self.same(starts, starts[first][of], np.full(len(starts), self.size))
         return starts[first], names
 
@@ -474,7 +479,7 @@ def _marked(own: Chunk, replies, n: int, size: int) -> np.ndarray:
             flagged[[at[int(s)] for s in single]] = bits[len(bits) - len(single) :]
         blocks = np.flatnonzero((own.codes[own.of] & (COMPARE | MANY)) == (COMPARE | MANY))
         starts = _ranges(own.lo[blocks], own.hi[blocks])
-        own_names = own.hashes[0].of(starts, starts + size)
+        own_names = own.hasher.of(starts, starts + size)
         spot = np.searchsorted(names, own_names)
         times = np.bincount(spot, minlength=len(names))
         hit = starts[(flagged | (times > 1))[spot]]
