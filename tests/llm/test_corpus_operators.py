@@ -485,6 +485,25 @@ def test_repeats(docs, none, options):
         assert suffix_dedup.without_repeats(none).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"chunk": 3000, "hot": 1}, {"chunk": 700, "witnesses": 2}])
+def test_repeats_in_parts_of_buckets(docs, options, monkeypatch):
+    want = suffix_dedup.digest(docs, **options).collect()
+    monkeypatch.setattr(suffix_dedup, "layout_of", lambda total: (3, 40))
+    got = suffix_dedup.digest(docs, **options).collect()
+    assert collections.Counter(got) == collections.Counter(want) and sum(r["n_removed"] for r in got)
+
+
+def test_chunks_send_few_rows_to_buckets_of_a_large_corpus():
+    data = np.random.default_rng(0).integers(97, 123, suffix_dedup.CHUNK).astype(np.uint8).tobytes()
+    own = suffix_dedup.Chunk(data, np.array([len(data)]), 200, 40)
+    own.codes = np.full(len(own.many), suffix_dedup.COMPARE, np.uint8)
+    for total in (10**9, 10**10):  # of text; the larger one is about 6 GB of Parquet
+        n, fan = suffix_dedup.layout_of(total)
+        assert n * fan >= total * 2 // 3 // suffix_dedup.PART_BYTES and fan <= 256
+        sent = suffix_dedup.Layout(own, n, fan)
+        assert len(sent.lo) > 5000 and len(sent.full) <= 256
+
+
 def test_cuts_leave_whole_characters(spark):
     passage = "".join(chr(0x4E00 + k * 7 % 5000) for k in range(80))  # 240 bytes, cut anywhere within a character
     rows = [(1, "é\ufffd" + passage + "ö end \ufffd", "a", 5), (2, "x" + chr(0x4F00) + passage[1:] + "\ufffd", "b", 6), (3, None, "c", 7), (4, "", "d", 8)]

@@ -25,7 +25,8 @@ and a collision of names is an error.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -40,44 +41,72 @@ from tidewell.llm.common import cool, cut, give_back, release, stash
 SIZE = 200
 ANCHOR = 40
 CHUNK = 1 << 19
-#: Names, and bytes, that a bucket gets, about.
-BUCKET_NAMES = 500_000
-BUCKET_BYTES = 1 << 20
+#: Names that a bucket gets, and bytes that are sorted at once, about.
+BUCKET_NAMES = 1_000_000
+PART_BYTES = 1 << 18
+#: Buckets of bytes: at least so many; each has up to FAN parts, which are sorted one by one. Chunks send a row to
+#: each bucket, not to each part: rows of chunk and part would grow with the square of the input.
+BUCKETS = 96
+FAN = 128
 #: Different blocks of one anchor above which they are dealt as windows.
 HOT = 2000
 #: Chunks that send a block's bytes, of those that have the same block.
 WITNESSES = 64
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+KEPT_POWERS = CHUNK + (1 << 16)
+_ODD = 0x9E3779B97F4A7C15
+_INVERSE = pow(_ODD, -1, 1 << 64)
 _NAME = np.dtype([("b1", "<u8"), ("b2", "<u4"), ("rest", "<u4")])
 _POS = np.uint64(0xFFFFFFFF)
 COVERED, COMPARE, MANY, SOLO = 1, 2, 4, 8
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
+def _powers(base: int, n: int) -> np.ndarray:
+    """At least n powers of base; those of a usual chunk's length are kept."""
+    return _kept_powers(base) if n <= KEPT_POWERS else _make_powers(base, n)
+
+
+def _make_powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[:1] = 1
     return np.cumprod(out)
 
 
+@lru_cache(2)
+def _kept_powers(base: int) -> np.ndarray:
+    return _make_powers(base, KEPT_POWERS)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads each bit over all (the finaliser of splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 class Hasher:
     """Polynomial hashes, modulo 2^64 over random byte values, of any pieces of one buffer."""
 
+    VALUES = np.random.default_rng(100).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
     def __init__(self, data: np.ndarray):
-        values = np.random.default_rng(100).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(values[data] * _powers(_ODD, len(data)), out=self.sums[1:])
-        self.back = _powers(np.uint64(pow(int(_ODD), -1, 1 << 64)), len(data) + 1)
+        values = self.VALUES[data]
+        values *= _powers(_ODD, len(data))[: len(data)]
+        np.cumsum(values, out=self.sums[1:])
+        self.back = _powers(_INVERSE, len(data) + 1)[: len(data) + 1]
 
     def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         return mix((self.sums[last] - self.sums[first]) * self.back[first])
 
+    def every(self, size: int) -> np.ndarray:
+        """The hashes of all pieces of one size, by their start."""
+        out = self.sums[size:] - self.sums[:-size]
+        out *= self.back[: len(out)]
+        return mix(out)
+
 
 class Chunk:
     """One chunk's texts with their blocks; computed alike whenever it is read."""
@@ -100,25 +129,26 @@ class Chunk:
         self.many = np.zeros(0, bool)
         if n < self.size:
             return
-        p = np.arange(n - self.anchor + 1, dtype=np.int64)
-        short = self.hasher.of(p, p + self.anchor)
-        keys = (short & ~_POS) | p.astype(np.uint64)
-        padded = np.full(-(-len(keys) // width) * width + width, np.iinfo(np.uint64).max, np.uint64)
-        padded[: len(keys)] = keys
-        rows = padded.reshape(-1, width)
-        ahead = np.minimum.accumulate(rows, axis=1).ravel()
-        behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
+        short = self.hasher.every(self.anchor)
+        least = short & ~_POS
+        least |= np.arange(len(least), dtype=np.uint64)
+        wide = 1
+        while 2 * wide <= width:
+            least = np.minimum(least[:-wide], least[wide:])
+            wide *= 2
         windows = n - self.size + 1
-        at = (np.minimum(behind[:windows], ahead[width - 1 : width - 1 + windows]) & _POS).astype(np.int64)
-        last = np.repeat(self.ends, self.sizes)[:windows] - self.size
-        fits = np.flatnonzero(np.arange(windows) <= last)
-        if not len(fits):
+        least = np.minimum(least[:windows], least[width - wide : width - wide + windows])
+        head = np.ones(windows, bool)
+        np.not_equal(least[1:], least[:-1], out=head[1:])
+        edges = np.concatenate([self.starts, np.maximum(self.ends - self.size + 1, self.starts)])
+        head[edges[edges < windows]] = True
+        lo = np.flatnonzero(head)
+        hi = np.append(lo[1:], windows) - 1
+        fits = hi <= self.ends[np.searchsorted(self.ends, lo, side="right")] - self.size
+        if not fits.any():
             return
-        own = at[fits]
-        new = np.ones(len(fits), bool)
-        new[1:] = (own[1:] != own[:-1]) | (fits[1:] != fits[:-1] + 1)
-        first = np.flatnonzero(new)
-        self.lo, self.hi, self.at = fits[first], fits[np.append(first[1:], len(fits)) - 1], own[first]
+        self.lo, self.hi = lo[fits], hi[fits]
+        self.at = (least[self.lo] & _POS).astype(np.int64)
         b1, b2 = self._names()
         a = mix(short[self.at])  # anchors are minima: mixed again, they spread over all buckets
         order = np.lexsort((b2, b1, a))
@@ -214,10 +244,13 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     rank[sample] = place
     sampled = sample[ranked]
     sampled = sampled[sampled < n]
-    zero = np.arange(0, n, 3)
-    key = _pair(s[zero], rank[zero + 1])
-    zero = zero[np.argsort(key, kind="stable")]
-    first, second = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
+    half = sampled % 3
+    first, second = sampled[half == 1], sampled[half == 2]
+    zero = np.concatenate([[n - 1] if n % 3 == 1 else [], first - 1]).astype(np.int64)  # by what follows their first symbol
+    heads = s[zero]
+    if heads.max() < 1 << 16:
+        heads = heads.astype(np.uint16)  # sorted by digits
+    zero = zero[np.argsort(heads, kind="stable")]
     keys = _pair(np.concatenate([s[zero], s[first]]), np.concatenate([rank[zero + 1], rank[first + 1]]))
     before = np.searchsorted(np.maximum.accumulate(keys[len(zero) :]), keys[: len(zero)]) if len(first) else np.zeros(len(zero), np.int64)
     if len(second):
@@ -246,12 +279,12 @@ def repeated(strings: list[bytes], size: int) -> np.ndarray:
     is_window = np.zeros(len(data), bool)
     is_window[windows] = True
     order = order[is_window[order]]
-    words = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, np.uint8)), 8)
+    width = min(8, size)
+    words = np.ndarray(len(data), "<u8", np.append(data, np.zeros(8, np.uint8)), strides=(1,))
+    low = np.uint64((1 << 8 * width) - 1)
     same = np.arange(1, len(order))
     for k in dict.fromkeys([0, size - 8, size // 2, *range(8, size - 8, 8)] if size >= 16 else [0]):
-        width = min(8, size)
-        a, b = words[order[same - 1] + k, :width], words[order[same] + k, :width]
-        same = same[(a == b).all(axis=1)]
+        same = same[(words[order[same - 1] + k] ^ words[order[same] + k]) & low == 0]
         if not len(same):
             break
     hit = np.zeros(len(data), bool)
@@ -374,37 +407,40 @@ def _answer_names(values: list[bytes], hot: int, witnesses: int) -> list[bytes]:
 def _answer_blocks(values: list[bytes], size: int) -> list[bytes]:
     known: dict[bytes, int] = {}
     which: list[int] = []
-    sort: list[bool] = []
+    sort: list[int] = []
     counts = []
     for v in values:
         n, total = np.frombuffer(v[:16], np.int64)
         lengths = np.frombuffer(v[16 : 16 + 4 * n], np.uint32).astype(np.int64)
-        alone = lengths >> 31 > 0
+        parts = np.where(lengths >> 31 > 0, -1, np.frombuffer(v[16 + 4 * n : 16 + 5 * n], np.uint8).astype(np.int64))
         lengths &= (1 << 31) - 1
-        data = pa.decompress(v[16 + 4 * n :], int(total), "zstd", asbytes=True)
-        for e, k, solo in zip(np.cumsum(lengths).tolist(), lengths.tolist(), alone.tolist(), strict=True):
+        data = pa.decompress(v[16 + 5 * n :], int(total), "zstd", asbytes=True)
+        for e, k, part in zip(np.cumsum(lengths).tolist(), lengths.tolist(), parts.tolist(), strict=True):
             which.append(found := known.setdefault(data[e - k : e], len(known)))
             if found == len(sort):
-                sort.append(not solo)
+                sort.append(part)
         counts.append(int((lengths - size + 1).sum()))
     # what several chunks sent alike is sorted once; all of its windows repeat
     strings = list(known)
     windows = np.array([len(x) - size + 1 for x in strings], np.int64)
+    first = np.cumsum(windows) - windows
     hit = np.zeros(int(windows.sum()), bool)
-    hit[np.repeat(np.array(sort, bool), windows)] = repeated([x for x, s in zip(strings, sort, strict=True) if s], size)
+    part = np.array(sort, np.int64)
+    for p in np.unique(part[part >= 0]):
+        chosen = np.flatnonzero(part == p)
+        hit[_ranges(first[chosen], first[chosen] + windows[chosen] - 1)] = repeated([strings[i] for i in chosen.tolist()], size)
     again = np.bincount(which, minlength=len(strings)) > 1
     hit |= np.repeat(again, windows)
-    first = np.cumsum(windows) - windows
     own = np.array(which, np.int64)
     flags = hit[_ranges(first[own], first[own] + windows[own] - 1)]
     return [np.packbits(x).tobytes() for x in np.split(flags, np.cumsum(counts)[:-1])]
 
 
-def _blob(pieces: list[bytes], solo: np.ndarray) -> bytes:
-    """The pieces with their lengths, whose highest bit marks those that need no sorting."""
+def _blob(pieces: list[bytes], solo: np.ndarray, part: np.ndarray) -> bytes:
+    """The pieces with their lengths, whose highest bit marks those that need no sorting, and their parts of the bucket."""
     data = b"".join(pieces)
     lengths = np.array([len(p) for p in pieces], np.uint32) | (solo.astype(np.uint32) << np.uint32(31))
-    return np.array([len(pieces), len(data)], np.int64).tobytes() + lengths.tobytes() + pa.compress(data, "zstd", asbytes=True)
+    return np.array([len(pieces), len(data)], np.int64).tobytes() + lengths.tobytes() + part.astype(np.uint8).tobytes() + pa.compress(data, "zstd", asbytes=True)
 
 
 def _with_replies(chunks: DataFrame, *replies: DataFrame) -> DataFrame:
@@ -422,61 +458,76 @@ def _take_codes(own: Chunk, replies) -> None:
         raise RuntimeError("a chunk's names and replies differ")
 
 
-def _layout(own: Chunk, n: int, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bucket, first, last window, is it solo) of what a chunk sends in step 2, in the order of sending."""
-    sent = own.sent()
-    hot, names = own.hot_windows
-    bucket = own.buckets(n)[sent]
-    hot_bucket = (names >> np.uint64(32)).astype(np.int64) * n >> 32
-    for k in np.unique(np.concatenate([bucket, hot_bucket])):
-        kinds, single = sent[bucket == k], hot[hot_bucket == k]
-        blocks = own.first[kinds]
-        solo = np.concatenate([(own.codes[kinds] & SOLO) > 0, np.zeros(len(single), bool)])
-        yield int(k), np.concatenate([own.lo[blocks], single]), np.concatenate([own.hi[blocks], single]), solo
-
-
-def _send_blocks(joined: DataFrame, n: int, size: int, anchor: int) -> DataFrame:
+class Layout:
+    """What a chunk sends in step 2, in the order of sending: by bucket and its part, blocks before single windows."""
+
+    def __init__(self, own: Chunk, n: int, fan: int):
+        sent = own.sent()
+        hot, names = own.hot_windows
+        blocks = own.first[sent]
+        part = np.concatenate([own.buckets(n * fan)[sent], (names >> np.uint64(32)).astype(np.int64) * (n * fan) >> 32])
+        order = np.argsort(part, kind="stable")
+        self.bucket, self.part = part[order] // fan, part[order] % fan
+        self.lo, self.hi = np.concatenate([own.lo[blocks], hot])[order], np.concatenate([own.hi[blocks], hot])[order]
+        self.solo = np.concatenate([(own.codes[sent] & SOLO) > 0, np.zeros(len(hot), bool)])[order]
+        self.single = np.concatenate([np.full(len(sent), -1), np.arange(len(hot))])[order]
+        self.edges = np.flatnonzero(np.diff(self.bucket, prepend=-1, append=n))
+        self.full = self.bucket[self.edges[:-1]]
+
+    def flags(self, replies) -> np.ndarray:
+        """The buckets' answers, one for each window sent."""
+        if [r["bucket"] for r in replies or []] != self.full.tolist():
+            raise RuntimeError("a chunk's blocks and replies differ")
+        if not len(self.full):
+            return np.zeros(0, bool)
+        counts = np.add.reduceat(self.hi - self.lo + 1, self.edges[:-1])
+        octets = -(-counts // 8)
+        first = 8 * (np.cumsum(octets) - octets)
+        bits = np.unpackbits(np.frombuffer(b"".join(r["reply"] for r in replies), np.uint8))
+        return bits[_ranges(first, first + counts - 1)] > 0
+
+
+def _send_blocks(joined: DataFrame, n: int, fan: int, size: int, anchor: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cool()
         for batch in batches:
             for chunk, sizes, data, replies in _rows(batch):
                 own = _open(sizes, data, size, anchor)
                 _take_codes(own, replies)
-                text = own.data.tobytes()
-                rows = [(k, chunk, _blob([text[a : b + size] for a, b in zip(lo, hi, strict=True)], solo)) for k, lo, hi, solo in _layout(own, n, size)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["bucket", "chunk", "blocks"])
+                text, sent = own.data.tobytes(), Layout(own, n, fan)
+                pieces = [text[a:b] for a, b in zip(sent.lo.tolist(), (sent.hi + size).tolist(), strict=True)]
+                blobs = [_blob(pieces[a:b], sent.solo[a:b], sent.part[a:b]) for a, b in pairwise(sent.edges.tolist())]
+                if blobs:
+                    yield pa.RecordBatch.from_arrays([pa.array(sent.full), pa.array(np.full(len(blobs), chunk)), pa.array(blobs, pa.binary())], ["bucket", "chunk", "blocks"])
 
     return joined.select("chunk", "sizes", "data", "r0").mapInArrow(run, "bucket long, chunk long, blocks binary")
 
 
-def _marked(own: Chunk, replies, n: int, size: int) -> np.ndarray:
+def _marked(own: Chunk, replies, n: int, fan: int, size: int) -> np.ndarray:
     """Which bytes of the chunk repeated windows cover."""
     step = np.zeros(len(own.data) + 1, np.int32)
 
     def cover(lo: np.ndarray, hi: np.ndarray) -> None:
-        np.add.at(step, lo, 1)
-        np.add.at(step, hi + size, -1)
+        """Each of lo, and each of hi, is given once."""
+        step[lo] += 1
+        step[hi + size] -= 1
 
     whole = (own.codes & COVERED)[own.of] > 0
     cover(own.lo[whole], own.hi[whole])
     twice = own.twice()
     cover(own.lo[twice], own.hi[twice])
-    given = {r["bucket"]: r["reply"] for r in replies or []}
-    for k, lo, hi, _ in _layout(own, n, size):
-        starts = _ranges(lo, hi)
-        hit = starts[np.unpackbits(np.frombuffer(given[k], np.uint8), count=len(starts)) > 0]
-        cover(hit, hit)
+    sent = Layout(own, n, fan)
+    flags = sent.flags(replies)
+    hit = _ranges(sent.lo, sent.hi)[flags]
+    cover(hit, hit)
     # windows dealt singly stand for all windows of their name
     hot, names = own.hot_windows
     if len(hot):
+        windows = sent.hi - sent.lo + 1
+        place = np.cumsum(windows) - windows
+        single = np.flatnonzero(sent.single >= 0)
         flagged = np.zeros(len(hot), bool)
-        at = {int(s): i for i, s in enumerate(hot)}
-        hot_bucket = (names >> np.uint64(32)).astype(np.int64) * n >> 32
-        for k, lo, hi, _ in _layout(own, n, size):
-            single = hot[hot_bucket == k]
-            bits = np.unpackbits(np.frombuffer(given[k], np.uint8), count=int((hi - lo + 1).sum())) > 0
-            flagged[[at[int(s)] for s in single]] = bits[len(bits) - len(single) :]
+        flagged[sent.single[single]] = flags[place[single]]
         blocks = np.flatnonzero((own.codes[own.of] & (COMPARE | MANY)) == (COMPARE | MANY))
         starts = _ranges(own.lo[blocks], own.hi[blocks])
         own_names = own.hasher.of(starts, starts + size)
@@ -487,6 +538,13 @@ def _marked(own: Chunk, replies, n: int, size: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def layout_of(total: int) -> tuple[int, int]:
+    """(buckets, parts of each) for a corpus of `total` bytes."""
+    parts = max(BUCKETS, -(-total * 2 // 3 // PART_BYTES))
+    fan = min(FAN, parts // BUCKETS)
+    return -(-parts // fan), fan
+
+
 def strip_repeats(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, chunk: int = CHUNK, hot: int = HOT, witnesses: int = WITNESSES, characters: bool = False) -> DataFrame:
     """docs with `kept` (binary, in place of text), n_bytes, n_removed, spans (array of start, end: the removed runs).
 
@@ -504,8 +562,8 @@ def strip_repeats(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, chunk
     n_names = max(64, -(-total * 2 // (size - anchor) // BUCKET_NAMES))
     codes = cut(_exchange(_send_names(chunks, n_names, size, anchor), "names", lambda v: _answer_names(v, hot, witnesses)))
     release(spark)
-    n_blocks = max(96, -(-total * 2 // 3 // BUCKET_BYTES))
-    hits = cut(_exchange(_send_blocks(_with_replies(chunks, codes), n_blocks, size, anchor), "blocks", lambda v: _answer_blocks(v, size)))
+    n_blocks, fan = layout_of(total)
+    hits = cut(_exchange(_send_blocks(_with_replies(chunks, codes), n_blocks, fan, size, anchor), "blocks", lambda v: _answer_blocks(v, size)))
     release(spark)
     others = [f for f in docs.schema.fields if f.name != "text"]
     schema = T.StructType([*others, T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
@@ -517,7 +575,7 @@ def strip_repeats(docs: DataFrame, size: int = SIZE, anchor: int = ANCHOR, chunk
             for row, (sizes, data, r0, r1) in enumerate(_rows(batch, 1)):
                 own = _open(sizes, data, size, anchor)
                 _take_codes(own, r0)
-                mark = _marked(own, r1, n_blocks, size)
+                mark = _marked(own, r1, n_blocks, fan, size)
                 kept, removed, spans = [], [], []
                 for a, b in zip(own.starts, own.ends, strict=True):
                     m = mark[a:b]
