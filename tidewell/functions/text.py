@@ -71,6 +71,17 @@ def fold_chars(text: Column) -> Column:
     return F.translate(text, FOLD_FROM + FOLD_DROP, FOLD_TO)
 
 
+def upper_letters(text: Column) -> Column:
+    """Upper case letter by letter, as DuckDB has it: what would become several letters stays, but for the German sharp s."""
+    own = F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), lambda c: F.when(c == "ß", "ẞ").when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c))
+    return F.array_join(own, "")
+
+
+def lower_letters(text: Column) -> Column:
+    """Lower case letter by letter: a sigma doesn't depend on what follows it, a dotted capital i is one letter."""
+    return F.lower(F.translate(text, "Σİ", "σi"))
+
+
 def squeeze(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, "\\s+", " "), F.lit(" "))
 
@@ -131,7 +142,7 @@ def evidence_key(text: Column) -> Column:
     clean = F.translate(F.translate(F.coalesce(text, F.lit("")), "\u00a0", " "), "\u200b\u2060\ufeff\u00ad", "")
     bare = lambda x: F.when(x.rlike("[\\p{L}\\p{N}]"), F.regexp_replace(x, "^[^\\p{L}\\p{N}]+", "")).otherwise(x)
     lines = F.filter(F.transform(F.split(clean, "\n"), lambda x: squeeze(bare(squeeze(x)))), lambda x: x != "")
-    return F.lower(F.array_join(lines, " "))
+    return lower_letters(F.array_join(lines, " "))
 
 
 def http_date(ts: Column) -> Column:

@@ -63,7 +63,9 @@ _EV = "lower(array_to_string(list_filter(list_transform(string_split(translate(t
 
 def judged(spark, d):
     met = table(spark, d, "labels").withColumnRenamed("doc_id", "id").join(docs(spark, d), F.col("id") == F.col("doc_id"))
-    return picked(met, grade="quality * 4 + doc_id % 4 - 1", violates="toxic = 1", facet=case("doc_id", 6, "'language'", "'authorisation'", "'salary'", "NULL", "'language'", "'other'"), evidence=case("doc_id", 4, "substr(text, 5, 40)", "'authorisation as a nurse'", "''", "'>>  ' || upper(substr(text, 1, 20))"))
+    met = picked(met, grade="quality * 4 + doc_id % 4 - 1", violates="toxic = 1", facet=case("doc_id", 6, "'language'", "'authorisation'", "'salary'", "NULL", "'language'", "'other'"), evidence=case("doc_id", 4, "substr(text, 5, 40)", "'authorisation as a nurse'", "''"))
+    shouted = F.concat(F.lit(">>  "), X.upper_letters(F.substring("text", 1, 20)))
+    return met.withColumn("evidence", F.when(F.col("doc_id") % 4 == 3, shouted).otherwise(F.col("evidence")))
 
 
 @query(f"""WITH j AS ({_J}) SELECT doc_id, CASE WHEN grade < 0 OR grade > 3 THEN 'grade' WHEN facet = 'salary' THEN 'facet' WHEN violates AND evidence = '' THEN 'no_evidence'
