@@ -26,3 +26,39 @@ def test_evidence_in_capitals_keeps_its_letters(spark, tmp_path):
     con = written(spark, tmp_path, documents=(docs, DOCS), labels=([(d[0], 0, 1) for d in docs], "doc_id long, quality int, toxic int"))
     for name in ("judgment_validation", "evidence_keys"):
         assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.execute(ORACLES[name]).df())
+
+
+def cosine_case(spark, path):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    one = rng.normal(size=(260, 8)).astype("float32")
+    data = [(k, [float(x) for x in v], int(k % 10)) for k, v in enumerate(one)]
+    data += [(k + 1000, [float(x) for x in one[k]], int(k % 7)) for k in range(60)] + [(k + 2000, [float(x) for x in one[0]], 3) for k in range(40)]  # copies: ties go by id
+    data += [(5000, [0.0] * 8, 1), (5001, None, 2), (5050, [], 3), (5003, [1.0, None, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0], 4), (5004, [1.0, 2.0], 5)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").repartition(5).write.parquet(f"{path}/embeddings.parquet")
+    con = duckdb.connect()
+    whole = [r for r in data if r[0] < 5000]
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[], label INTEGER)")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?, ?)", whole)
+    return con
+
+
+@pytest.mark.parametrize("name", ["dense_topk", "dense_link", "mean_similarity", "polarity_delta"])
+def test_cosines_as_in_sql(spark, tmp_path, name):
+    con = cosine_case(spark, tmp_path)
+    assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.execute(ORACLES[name]).df())
+
+
+def test_cosines_are_reduced_where_they_are_made(spark, tmp_path):
+    """Before, every pair of a query and a vector left its task."""
+    from tidewell.operators import retrieval as T
+    from tidewell.plans.retrieval import vectors
+
+    cosine_case(spark, tmp_path)
+    e, asked = vectors(spark, str(tmp_path))
+    e = e.where("doc_id < 1000").coalesce(1)
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    assert T.nearest(e, asked, 1, itself=False).count() <= asked.count() * tasks * 2
+    joins = QUERIES["dense_topk"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in joins

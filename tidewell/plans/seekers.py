@@ -11,7 +11,7 @@ from tidewell.operators import retrieval as T
 from tidewell.plans.evaluation import _ARMS, rankings
 from tidewell.plans.records import case, picked
 from tidewell.plans.registry import Registry
-from tidewell.plans.retrieval import _BM25, _LT, _NOISE, _SEV, _TOP, _VEC, _W, cosines, docs, facets, rounded, seekers, severity, speakers
+from tidewell.plans.retrieval import _BM25, _LT, _NOISE, _SEV, _TOP, _VEC, _W, docs, facets, rounded, seekers, severity, speakers, vectors
 from tidewell.sources.tables import table
 
 REGISTRY = Registry()
@@ -146,9 +146,9 @@ def eight_arms(spark, d):
     scores = {"bm25_raw": F.col("score"), "bm25_parse": parse, "styrk": T.lift(parse, prox, yes), "esco": esco, "constr_soft": T.penalise(esco, severity(), stated, 0.7), "constr_hard": T.penalise(esco, severity(), stated, 1.0), "skills_esco": esco * (1 + 0.45 * (i % 4).cast("double") / 3)}
     arms = F.array(*[F.struct(F.lit(a).alias("arm"), s.cast("double").alias("score")) for a, s in scores.items()])
     long = met.select("query_id", "doc_id", F.explode(arms).alias("x")).select("x.arm", "query_id", "doc_id", "x.score")
-    vectors = table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    asked = seekers(spark, d).select("query_id").join(vectors.withColumnRenamed("doc_id", "query_id"), "query_id")
-    return T.ranked(long.unionByName(T.dense(vectors, asked).select(F.lit("dense").alias("arm"), "query_id", "doc_id", "score")), 10, ["arm", "query_id"])
+    e, _ = vectors(spark, d)
+    asked = seekers(spark, d).select("query_id").join(e.withColumnRenamed("doc_id", "query_id"), "query_id")
+    return T.ranked(long.unionByName(T.nearest(e, asked).select(F.lit("dense").alias("arm"), "query_id", "doc_id", "score")), 10, ["arm", "query_id"])
 
 
 @query(_EIGHT + "SELECT arm, query_id, doc_id, rank, round(score, 5) AS score FROM r")
@@ -179,8 +179,8 @@ def top_ten_counts(spark, d):
 w AS (SELECT side, sum(a * below)::DOUBLE / nullif(sum(a) * sum(b), 0) AS auc FROM c GROUP BY 1) SELECT round(max(auc) FILTER (side = 'negated') - max(auc) FILTER (side = 'positive'), 6) AS delta FROM w""")
 def polarity_delta(spark, d):
     """MET12: what denying does to how well scores separate: the difference of two AUCs."""
-    labels = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
-    x = cosines(spark, d).join(labels, "doc_id").select(F.when(F.col("query_id") % 100 == 0, "negated").otherwise("positive").alias("side"), (F.col("label") >= 5).alias("p"), F.round("score", 9).alias("score"))
-    u = V.auc(x, ["side"], "score", "p")
+    e, asked = vectors(spark, d)
+    side = F.when(F.col("query_id") % 100 == 0, 1).otherwise(0)
+    u = T.cosine_auc(e.withColumn("p", F.col("label") >= 5), asked.withColumn("side", side))
     one = lambda s: F.max(F.when(F.col("side") == s, F.col("auc")))
-    return u.agg(F.round(one("negated") - one("positive"), 6).alias("delta"))
+    return u.agg(F.round(one(1) - one(0), 6).alias("delta"))
