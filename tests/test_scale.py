@@ -62,3 +62,23 @@ def test_cosines_are_reduced_where_they_are_made(spark, tmp_path):
     assert T.nearest(e, asked, 1, itself=False).count() <= asked.count() * tasks * 2
     joins = QUERIES["dense_topk"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in joins
+
+
+BM25 = ["bm25_topk", "bm25_scores", "bm25_fielded", "bm25_index_topk", "bm25_constrained_topk", "cvr_at_10", "full_ladder", "unmet_terms", "idf_coverage_score", "lift_and_tie"]
+
+
+@pytest.mark.parametrize("name", BM25)
+def test_scores_as_in_sql_with_odd_texts(spark, tmp_path, name):
+    words = "red blue green extraordinary extraordinarily sunflowers wheel bolt nurse the and og".split()
+    docs = [(k, " ".join(words[(k * j) % len(words)] for j in range(1, 3 + k % 9)), ["en", "de", None][k % 3], words[k % 5] if k % 4 else None, 10) for k in range(90)]
+    docs += [(200, None, "en", "red", 0), (201, "", "de", "blue", 0), (202, "the and og", "en", "extraordinary", 9), (203, "¿? 123 red_blue", "en", None, 9)]
+    docs += [(300 + k, "red bolt", "en", "wheel", 8) for k in range(30)]  # copies: ties go by id
+    bench = [(0, "red extraordinary bolt"), (1, "the og"), (2, "unheard sunflowers"), (3, None), (4, "Red red NURSE 123")]
+    con = written(spark, tmp_path, documents=(docs, DOCS), benchmark=(bench, "item_id long, text string"), labels=([(k, k % 2, k % 3 % 2) for k in range(0, 120, 2)], "doc_id long, quality int, toxic int"), embeddings=([(k, [1.0, float(k)], k % 10) for k in range(60)], "vec_id long, embedding array<float>, label int"))
+    assert rows(QUERIES[name](spark, str(tmp_path)).toPandas()) == rows(con.execute(ORACLES[name]).df())
+
+
+def test_scored_pairs_are_not_dealt_out(spark, sf):
+    """Before, words were, and pairs were sorted for the arms."""
+    plan = QUERIES["arm_ladder"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "SortMergeJoin" not in plan

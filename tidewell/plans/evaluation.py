@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.operators import evaluation as V
 from tidewell.operators import retrieval as T
 from tidewell.plans.registry import Registry
-from tidewell.plans.retrieval import _BM25, _SEV, docs, facets, seekers, severity, speakers
+from tidewell.plans.retrieval import _BM25, _SEV, constrained_pairs, severity
 from tidewell.sources.tables import table
 
 REGISTRY = Registry()
@@ -27,12 +27,9 @@ m AS (SELECT arm, query_id, cvr, coalesce(ndcg0, 0.0) AS ndcg, mrr, judged FROM
 
 def rankings(spark, d):
     """The arms' first tens. One scoring pass feeds all arms: a stage only changes the score."""
-    met = T.bm25(docs(spark, d), seekers(spark, d)).join(facets(spark, d), "doc_id").join(F.broadcast(speakers(spark, d)), "query_id")
     stated = F.col("speaker").isNotNull()
-    score = lambda s: T.penalise(F.col("score"), severity(), stated, s)
-    arms = F.array(*[F.struct(F.lit(a).alias("arm"), score(s).alias("score")) for a, s in (("raw", 0), ("soft", 0.7), ("hard", 1.0))])
-    long = met.select("query_id", "doc_id", F.explode(arms).alias("x")).select("x.arm", "query_id", "doc_id", "x.score")
-    return T.ranked(long, 10, ["arm", "query_id"])
+    arms = {a: T.penalise(F.col("score"), severity(), stated, s) for a, s in (("raw", 0), ("soft", 0.7), ("hard", 1.0))}
+    return T.ranked(T.leading(constrained_pairs(spark, d), arms), 10, ["arm", "query_id"])
 
 
 def judgments(spark, d, ranks):

@@ -11,7 +11,7 @@ from tidewell.operators import retrieval as T
 from tidewell.plans.evaluation import _ARMS, rankings
 from tidewell.plans.records import case, picked
 from tidewell.plans.registry import Registry
-from tidewell.plans.retrieval import _BM25, _LT, _NOISE, _SEV, _TOP, _VEC, _W, docs, facets, rounded, seekers, severity, speakers, vectors
+from tidewell.plans.retrieval import _BM25, _LT, _NOISE, _SEV, _TOP, _VEC, _W, constrained_pairs, docs, facets, rounded, seekers, severity, speakers, vectors
 from tidewell.sources.tables import table
 
 REGISTRY = Registry()
@@ -86,9 +86,10 @@ def occupation_trust(spark, d):
 l AS (SELECT query_id, doc_id, CASE WHEN lang = 'en' AND speaker IN ('none', 'basic') THEN score * (1 + 0.22 * 0.7) ELSE score END + CASE WHEN hit THEN 0.02 ELSE 0.0 END AS score FROM o)""" + _TOP.format("l"))
 def lift_and_tie(spark, d):
     """RET23, RET24: what is open is lifted for those who speak little; a label match breaks ties."""
-    met = T.bm25(docs(spark, d), seekers(spark, d)).join(docs(spark, d).select("doc_id", "lang", F.contains(F.lower("text"), F.lit("the")).alias("hit")), "doc_id").join(F.broadcast(speakers(spark, d)), "query_id")  # the stated queries
+    own = docs(spark, d).withColumn("hit", F.contains(F.lower("text"), F.lit("the")))
+    met = T.bm25(own, seekers(spark, d), keep=("lang", "hit")).join(F.broadcast(speakers(spark, d)), "query_id")  # the stated queries
     score = T.open_lift(F.col("score"), F.coalesce(F.col("lang") == "en", F.lit(False)), F.col("speaker"), 0.7) + F.when(F.coalesce("hit", F.lit(False)), T.TIE).otherwise(0.0)
-    return rounded(T.ranked(met.select("query_id", "doc_id", score.alias("score"))))
+    return rounded(T.first_ranked(met.select("query_id", "doc_id", score.alias("score"))))
 
 
 _PREFIX = "CASE WHEN substr({0}, 1, 4) = substr({1}, 1, 4) THEN 1.0 WHEN substr({0}, 1, 3) = substr({1}, 1, 3) THEN 0.7 WHEN substr({0}, 1, 2) = substr({1}, 1, 2) THEN 0.4 WHEN substr({0}, 1, 1) = substr({1}, 1, 1) THEN 0.15 ELSE 0.0 END"
@@ -135,7 +136,7 @@ r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY arm, query_id ORD
 
 def eight_arms(spark, d):
     """One lexical pass feeds seven arms, each a stage more; the dense arm stands apart."""
-    met = T.bm25(docs(spark, d), seekers(spark, d)).join(facets(spark, d), "doc_id").join(F.broadcast(speakers(spark, d)), "query_id")  # the stated queries
+    met = constrained_pairs(spark, d)
     q, i = F.col("query_id"), F.col("doc_id")
     code = lambda c: (1000 + c * 37 % 9000).cast("string")
     prox = T.prefix_proximity(code(q * 11), code(i))
@@ -144,11 +145,9 @@ def eight_arms(spark, d):
     yes, stated = F.lit(True), F.col("speaker").isNotNull()
     esco = T.lift(parse, same, yes)
     scores = {"bm25_raw": F.col("score"), "bm25_parse": parse, "styrk": T.lift(parse, prox, yes), "esco": esco, "constr_soft": T.penalise(esco, severity(), stated, 0.7), "constr_hard": T.penalise(esco, severity(), stated, 1.0), "skills_esco": esco * (1 + 0.45 * (i % 4).cast("double") / 3)}
-    arms = F.array(*[F.struct(F.lit(a).alias("arm"), s.cast("double").alias("score")) for a, s in scores.items()])
-    long = met.select("query_id", "doc_id", F.explode(arms).alias("x")).select("x.arm", "query_id", "doc_id", "x.score")
     e, _ = vectors(spark, d)
     asked = seekers(spark, d).select("query_id").join(e.withColumnRenamed("doc_id", "query_id"), "query_id")
-    return T.ranked(long.unionByName(T.nearest(e, asked).select(F.lit("dense").alias("arm"), "query_id", "doc_id", "score")), 10, ["arm", "query_id"])
+    return T.ranked(T.leading(met, scores).unionByName(T.nearest(e, asked).select(F.lit("dense").alias("arm"), "query_id", "doc_id", "score")), 10, ["arm", "query_id"])
 
 
 @query(_EIGHT + "SELECT arm, query_id, doc_id, rank, round(score, 5) AS score FROM r")
