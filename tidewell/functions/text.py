@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,10 +191,24 @@ def fold(text: str | None) -> str:
     return " ".join(folded.split())
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Spark has no expression for NFKC."""
-    return text.map(fold)
+def in_slices(df: DataFrame, schema: str, make: Callable[[pa.Array, list], list], rows: int = 64) -> DataFrame:
+    """make(keys, values) for some rows of df's two columns at a time: what Python holds besides the batch that came doesn't grow with it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, rows):
+                part = batch.slice(k, rows)
+                yield pa.RecordBatch.from_arrays(make(part.column(0), part.column(1).to_pylist()), names)
+
+    out = T._parse_datatype_string(schema)
+    names = out.names
+    return df.mapInArrow(run, out)
+
+
+def nfkc(texts: DataFrame) -> DataFrame:
+    """(key, text): fold() of each text; Spark has no expression for NFKC."""
+    key, text = texts.columns
+    return in_slices(texts, f"{key} {texts.schema[key].dataType.simpleString()}, {text} string", lambda keys, values: [keys, pa.array([fold(x) for x in values], pa.string())])
 
 
 @F.pandas_udf(T.StringType())
@@ -290,13 +306,23 @@ def html_blocks_of(html: str | None) -> list[dict]:
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("index", T.IntegerType()), T.StructField("tag", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.IntegerType())])))
-def html_blocks(html: pd.Series) -> pd.Series:
-    return html.map(html_blocks_of)
+def html_blocks(pages: DataFrame) -> DataFrame:
+    """(key, index, tag, text, n_chars): a row for each content block of pages (key, html)."""
+
+    def make(keys: pa.Array, values: list) -> list:
+        blocks = [html_blocks_of(x) for x in values]
+        flat = [b for bs in blocks for b in bs]
+        own = keys.take(pa.array([k for k, bs in enumerate(blocks) for _ in bs], pa.int64()))
+        return [own, *(pa.array([b[name] for b in flat], kind) for name, kind in (("index", pa.int32()), ("tag", pa.string()), ("text", pa.string()), ("n_chars", pa.int32())))]
+
+    key = pages.columns[0]
+    return in_slices(pages, f"{key} {pages.schema[key].dataType.simpleString()}, index int, tag string, text string, n_chars int", make)
 
 
-def blocks_text(blocks: Column) -> Column:
-    return F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")
+def html_text(pages: DataFrame) -> DataFrame:
+    """(key, text): the content blocks of pages (key, html), a line each."""
+    key = pages.columns[0]
+    return in_slices(pages, f"{key} {pages.schema[key].dataType.simpleString()}, text string", lambda keys, values: [keys, pa.array(["\n".join(b["text"] for b in html_blocks_of(x)) for x in values], pa.string())])
 
 
 def stem_chain(word: str, stemmers, steps: int = 4) -> list[str]:

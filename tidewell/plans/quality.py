@@ -117,7 +117,7 @@ def pii_scrub(spark, d):
 @query()
 def normalise_text(spark, d):
     """TXT1 with NFKC, for which neither engine has an expression."""
-    return docs(spark, d).select("doc_id", X.nfkc("text").alias("text"))
+    return X.nfkc(docs(spark, d).select("doc_id", "text"))
 
 
 @query("SELECT doc_id, trim(regexp_replace(translate(text, '‘’“”' || chr(160) || chr(8201) || chr(8239) || '–—' || chr(173), '''''\"\"   --'), '[\\t\\f\\v\\r ]+', ' ', 'g'), E' \\t\\n\\r') AS text FROM documents".replace("\\\\", "\\"))
@@ -128,13 +128,12 @@ def keep_blocks(spark, d):
 @query()
 def html_blocks(spark, d):
     """TXT18: a parser of our own; tested on cases."""
-    blocks = table(spark, d, "pages").select("page_id", F.posexplode(X.html_blocks("html")).alias("pos", "b"))
-    return blocks.select("page_id", "b.index", "b.tag", "b.text", "b.n_chars")
+    return X.html_blocks(table(spark, d, "pages").select("page_id", "html"))
 
 
 @query()
 def html_text(spark, d):
-    return table(spark, d, "pages").select("page_id", X.blocks_text(X.html_blocks("html")).alias("text"))
+    return X.html_text(table(spark, d, "pages").select("page_id", "html"))
 
 
 @query()
