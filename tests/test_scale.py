@@ -112,3 +112,37 @@ def test_labels_of_the_same_words_are_met_once(spark, tmp_path, name, limit):
     want = rows(con.execute(ORACLES[name]).df())
     assert rows(df.toPandas()) == want
     assert most_rows(df) <= max(limit, 2 * len(want))
+
+
+def test_a_signature_is_made_once(spark):
+    from tidewell.operators import relational as R
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def signature(k):
+        made.add(1)
+        return str(k % 7)
+
+    items = spark.range(100).withColumnRenamed("id", "k")
+    results = items.select(F.col("k").alias("rep"), (F.col("k") * 2).alias("v"))
+    out = R.fan_out(items, "k", signature(F.col("k")), results).collect()
+    assert sorted((r["k"], r["rep"], r["v"]) for r in out) == [(k, k % 7, k % 7 * 2) for k in range(100)]
+    assert made.value == 100
+
+
+def test_python_holds_few_rows_at_a_time(spark, sf):
+    from tidewell.functions import text as X
+
+    most = spark.sparkContext.accumulator(0)
+
+    def make(keys, values):
+        if len(values) > 64:
+            most.add(len(values))
+        return [keys]
+
+    assert X.in_slices(spark.range(1000).select("id", F.lit("x").alias("t")).coalesce(1), "id long", make).count() == 1000
+    assert most.value == 0
+    for name in ("html_text", "html_blocks", "normalise_text"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" in plan and "ArrowEvalPython" not in plan

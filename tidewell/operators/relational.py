@@ -52,8 +52,8 @@ def clusters(items: DataFrame, key: str, signature: Column) -> DataFrame:
 
 def fan_out(items: DataFrame, key: str, signature: Column, results: DataFrame) -> DataFrame:
     """Each item with the result of its group's representative; raises if one has none. results has column rep."""
-    named = items.select(key, signature.alias("signature"))
-    reps = clusters(items, key, signature)
+    named = items.select(key, signature.alias("signature")).persist()  # made once: for the check below and for both sides of the join
+    reps = named.groupBy("signature").agg(F.min(key).alias("rep"))
     complete(reps.select("rep"), results.select("rep").distinct(), ["rep"])
     return named.join(reps, "signature").select(key, "rep").join(results, "rep")
 
