@@ -17,12 +17,11 @@ the documents in a join.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,26 +40,49 @@ ROUNDS, SHARD, MOST_SHARDS = 4, 2_000_000, 16_384
 #: The largest weight of the last layer: exponents stay in range without a look for the largest.
 STEEP = 3.0
 _BLOCKS = 16
-_FLUSH = 200_000
+#: Bytes of text whose words are told apart at a time.
+_PIECE = 8_000_000
 _PORTION = 200_000
 
 
+def pieces(column: pa.Array, most: int = _PIECE) -> Iterator[pa.Array]:
+    """The texts of a binary column in slices of about `most` bytes; a longer text has a slice of its own."""
+    column = pc.fill_null(column.cast(pa.binary()), b"")
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset :][: len(column) + 1] if len(column) else ()
+    first = 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + most, side="right")) - 1)
+        yield column.slice(first, last - first)
+        first = last
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(lower-cased words of all texts, how many each has), by the rules of bytes.lower() and bytes.split(). No text may be null."""
+    # Arrow's functions for ASCII go by bytes, but take strings only
+    strings = pa.Array.from_buffers(pa.string(), len(texts), [None, *texts.buffers()[1:]], offset=texts.offset)
+    found = pc.ascii_split_whitespace(pc.ascii_lower(strings))
+    words = found.flatten().cast(pa.binary())
+    kept = pc.greater(pc.binary_length(words), 0)  # where a text begins or ends with a space stands an empty word
+    ends = np.concatenate([[0], np.cumsum(kept.to_numpy(zero_copy_only=False))])
+    return words.filter(kept), np.diff(ends[found.offsets.to_numpy() - found.offsets[0].as_py()])
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word binary, n): how often each lower-cased (A-Z) word occurs in all of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
+        held: list[pa.Array] = []
 
         def out() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+            found = pc.value_counts(split(pa.concat_arrays(held))[0])
             held.clear()
-            return batch
+            return pa.RecordBatch.from_arrays([found.field(0), found.field(1)], ["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0):
-                held.update((text.as_py() or b"").lower().split())
-                if len(held) > _FLUSH:
+            for texts in pieces(batch.column(0)):
+                if held and sum(x.nbytes for x in held) + texts.nbytes > _PIECE:
                     yield out()
+                held.append(texts)
         if held:
             yield out()
 
@@ -83,6 +105,7 @@ class Vocabulary(dict):
         own = min(ALONE, self.common)
         ends[:own] = np.arange(own)
         self.group = ends
+        self._common: pa.Array | None = None
         self.classify(np.zeros((self.size, GROUPS)))
 
     def classify(self, beside: np.ndarray, rounds: int = 12, seed: int = 0) -> None:
@@ -116,14 +139,44 @@ class Vocabulary(dict):
         found = self[word] = self.common + _ending(word)
         return found
 
+    def rows(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(row of each word, unsigned 16-bit; whether it is a shared one), for a binary array without nulls."""
+        if self._common is None:
+            self._common = pa.array(list(self)[: self.common], pa.binary())
+        rows = pc.fill_null(pc.index_in(words, self._common), -1).to_numpy(zero_copy_only=False)
+        shared = rows < 0
+        out = rows.astype(np.uint16)
+        out[shared] = self.common + _endings(words.filter(pa.array(shared)))
+        return out, shared
+
     def __reduce__(self):
-        return _vocabulary, (list(self)[: self.common], {k: v for k, v in self.__dict__.items()})
+        return _vocabulary, (list(self)[: self.common], self.__dict__ | {"_common": None})
 
 
 def _ending(word: bytes) -> int:
     return zlib.crc32(word[-ENDING:]) % ENDINGS
 
 
+#: What zlib.crc32 does with each byte.
+_CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _CRC = (_CRC >> 1) ^ np.where(_CRC & 1, np.uint32(0xEDB88320), np.uint32(0))
+
+
+def _endings(words: pa.Array) -> np.ndarray:
+    """_ending() of each word of a binary array without nulls."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset :][: len(words) + 1]
+    data = np.frombuffer(words.buffers()[2], np.uint8)
+    last, length = ends[1:], np.diff(ends)
+    crc = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for back in range(ENDING, 0, -1):
+        step = _CRC.take((crc ^ data.take(np.maximum(last - back, 0))) & 0xFF) ^ (crc >> 8)
+        crc = np.where(length >= back, step, crc)
+    return ((crc ^ 0xFFFFFFFF) % ENDINGS).astype(np.int64)
+
+
 def _vocabulary(words: list[bytes], state: dict) -> Vocabulary:
     out = Vocabulary.__new__(Vocabulary)
     dict.__init__(out, ((w, k) for k, w in enumerate(words)))
@@ -158,57 +211,75 @@ class Network:
             at += own.size
 
     def hidden(self, ids: np.ndarray, spots: np.ndarray) -> np.ndarray:
-        total = self.table[0].take(ids.take(spots + CONTEXT[0]), axis=0)
-        for k, offset in enumerate(CONTEXT[1:], 1):
-            total += self.table[k].take(ids.take(spots + offset), axis=0)
+        total = self.table.reshape(-1, HIDDEN).take(self._met(ids, spots), axis=0).sum(axis=0)
         return np.tanh(total, out=total)
 
+    def _met(self, ids: np.ndarray, spots: np.ndarray) -> np.ndarray:
+        """Rows of the context words of each spot, a line for each offset, as places in the tables of all offsets end to end."""
+        wide = self.table.shape[1]
+        kind = np.min_scalar_type(len(CONTEXT) * wide)  # 16 bits are sorted by their digits
+        return ids.take(spots + np.array(CONTEXT)[:, None]).astype(kind) + np.arange(0, len(CONTEXT) * wide, wide, dtype=kind)[:, None]
+
     def train(self, ids: np.ndarray, spots: np.ndarray, batch: int = 2048, rate: float = 0.1) -> None:
-        """One pass over spots on the class's log-loss."""
+        """One pass over spots on the class's log-loss.
+
+        The bias is the row of a hidden unit that is always 1, and odds are divided by their sums where
+        they have become narrow.
+        """
         cls = self.vocabulary.cls
         every = np.arange(batch)
+        table, seen = self.table.reshape(-1, HIDDEN), self.seen_table.reshape(-1)
+        out, seen_out = np.concatenate([self.out, self.bias[None]]), np.concatenate([self.seen_out, self.seen_bias[None]])
+        odds, ones = np.empty((batch, CLASSES), np.float32), np.ones(CLASSES, np.float32)
+        units = np.ones((batch, HIDDEN + 1), np.float32)
         for k in range(0, len(spots), batch):
             at = spots[k : k + batch]
             n = len(at)
-            h = self.hidden(ids, at)
-            p = h @ self.out
-            p += self.bias
+            met = self._met(ids, at)
+            h = table.take(met, axis=0).sum(axis=0)
+            np.tanh(h, out=h)
+            own = units[:n]
+            own[:, :-1] = h
+            p = np.matmul(own, out, out=odds[:n])
             np.exp(p, out=p)
-            p *= 1 / p.sum(axis=1, keepdims=True)
-            p[every[:n], cls[ids[at]]] -= 1
-            back = p @ self.out.T
+            total = p @ ones
+            p[every[:n], cls.take(ids.take(at))] -= total
+            part = (1 / n / total)[:, None]
+            g = (own * part).T @ p
+            back = p @ out[:-1].T
+            back *= part
             back *= 1 - h * h
-            back *= 1 / n
-            g_out, g_bias = (h.T @ p) / n, p.sum(axis=0) / n
-            for own, acc, g in ((self.out, self.seen_out, g_out), (self.bias, self.seen_bias, g_bias)):
-                acc += g * g
-                own -= rate * g / np.sqrt(acc)
-            np.clip(self.out, -STEEP, STEEP, out=self.out)
-            np.minimum(self.bias, 0, out=self.bias)
-            for o, offset in enumerate(CONTEXT):
-                met = ids.take(at + offset)
-                order = met.argsort(kind="stable")
-                rows = met.take(order)
-                first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-                rows, g = rows.take(first), np.add.reduceat(back.take(order, axis=0), first, axis=0)
-                acc = self.seen_table[o].take(rows) + (g * g).mean(axis=1)
-                self.seen_table[o][rows] = acc
-                g *= (rate / np.sqrt(acc))[:, None]
-                self.table[o][rows] -= g
+            seen_out += g * g
+            out -= rate * g / np.sqrt(seen_out)
+            np.clip(out[:-1], -STEEP, STEEP, out=out[:-1])
+            np.minimum(out[-1], 0, out=out[-1])
+            met = met.ravel()
+            order = met.argsort(kind="stable")
+            rows = met.take(order)
+            first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+            rows = rows.take(first)
+            pairs = back.view(np.complex64).take(order % n, axis=0)  # two columns are summed at a time: HIDDEN is even
+            g = np.add.reduceat(pairs, first, axis=0).view(np.float32)
+            acc = seen.take(rows) + np.einsum("ij,ij->i", g, g) / HIDDEN
+            seen[rows] = acc
+            g *= (rate / np.sqrt(acc))[:, None]
+            table[rows] = table.take(rows, axis=0) - g
+        self.out, self.bias = out[:-1].copy(), out[-1].copy()
+        self.seen_out, self.seen_bias = seen_out[:-1].copy(), seen_out[-1].copy()
 
     def log_probs(self, ids: np.ndarray, spots: np.ndarray) -> np.ndarray:
         """The log-probability of each token given both sides, but for the logarithm of a rare word's count."""
         p = self.hidden(ids, spots) @ self.out
         p += self.bias
-        own = ids[spots]
-        top = p[np.arange(len(spots)), self.vocabulary.cls[own]].astype(np.float64)
+        own = ids.take(spots)
+        top = p[np.arange(len(spots)), self.vocabulary.cls.take(own)].astype(np.float64)
         np.exp(p, out=p)
-        return top - np.log(p.sum(axis=1, dtype=np.float64)) + self.vocabulary.share[own]
+        return top - np.log((p @ np.ones(CLASSES, np.float32)).astype(np.float64)) + self.vocabulary.share.take(own)
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """The summed log-probability of each document, given as rows of its words."""
         ids, spots = lay_out(docs, self.vocabulary.size)
-        each = np.concatenate([[0.0], *(self.log_probs(ids, spots[k : k + 4096]) for k in range(0, len(spots), 4096))])
+        each = np.concatenate([[0.0], *(self.log_probs(ids, spots[k : k + 2048]) for k in range(0, len(spots), 2048))])
         sums, n = np.cumsum(each), np.array([len(d) for d in docs], np.int64)
         ends = np.cumsum(n)
         return sums[ends] - sums[ends - n]
@@ -262,18 +333,18 @@ def encode(docs: DataFrame, words: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        of = own.__getitem__
-        for whole in batches:
-            for first in range(0, whole.num_rows, 1000):
-                batch = whole.slice(first, 1000)
-                ids, n, others = [], [], []
-                for x in batch.column(2):
-                    text = (x.as_py() or b"").lower().split()
-                    rows = np.fromiter(map(of, text), np.uint16, len(text))
-                    ids.append(rows.tobytes())
-                    n.append(len(text))
-                    others.append(b" ".join(compress(text, (rows >= own.common).tolist())))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(others, pa.binary())], ["doc_id", "h", "n_tokens", "ids", "rare"])
+        for batch in batches:
+            first = 0
+            for texts in pieces(batch.column(2)):
+                found, n = split(texts)
+                rows, others = own.rows(found)
+                ends = np.concatenate([[0], np.cumsum(n)])
+                ids = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(rows)])
+                ends = np.concatenate([[0], np.cumsum(others)])[ends]
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), found.filter(pa.array(others)))
+                part = batch.slice(first, len(n))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), ids, pc.binary_join(lists, b" ")], ["doc_id", "h", "n_tokens", "ids", "rare"])
+                first += len(n)
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("h"), F.col("text").cast("binary").alias("text"))
     return given.mapInArrow(run, "doc_id long, h long, n_tokens long, ids binary, rare binary")
